@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import chat, exact, licenses
+from kindred.llm import bpe, chat, exact, licenses, simhash
 
 QUERIES = {
     "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
     "op4_exact_block_naming": exact.op4_exact_block_naming,
+    "op6_bpe_forced_boundaries": bpe.op6_bpe_forced_boundaries,
+    "op7_token_counts": bpe.op7_token_counts,
     "op8_license_positional": licenses.op8_license_positional,
+    "op9_simhash_gray": simhash.op9_simhash_gray,
 }
 SQL = {"op2_chat_prefix_targets": chat.OP2_SQL, "op4_exact_block_naming": exact.OP4_SQL}
