@@ -89,12 +89,15 @@ def exact_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataF
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Where a doc_id is repeated, the text's digest tells which row it is."""
-    kept = exact_groups(docs, scratch).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_own", F.sha2(normalised(F.col("text")), 256))
-    stays = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "_sha_own").orderBy(F.lit(0)))
-    return stays.withColumn("_nth", one).where("_nth = 1").drop("_nth", "_sha_own")
+    """The rows of ``docs`` that stay, with their columns. A row is known by its doc_id and its text's digest; of rows alike in both one stays."""
+    def key(sha: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+
+    kept = exact_groups(docs, scratch).where("kept").select(key(F.col("text_sha256")).alias("_exact_key")).distinct()
+    marked = docs.withColumn("_exact_key", key(F.sha2(normalised(F.col("text")), 256)))
+    one = F.row_number().over(Window.partitionBy("_exact_key").orderBy(F.lit(0)))
+    stays = marked.join(kept, "_exact_key", "left_semi").withColumn("_exact_nth", one)
+    return stays.where("_exact_nth = 1").drop("_exact_nth", "_exact_key")
 
 
 def op4_exact_block_naming(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,22 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints: 64 bits over word shingles; a bit is set if it is set in over half of the shingles' XXH64. Fingerprints that differ in at most three
-bits are linked, and documents of linked fingerprints form components.
+Fingerprints: bits over word shingles; a bit is set if it is set in over half of the shingles' XXH64 (and of mixes of it beyond the first 64 bits).
+Equal fingerprints are one entry. Linked entries, and with them their documents, form components.
 
-Search: equal fingerprints are one entry. Two entries within three bits agree in one of four 16-bit chunks, so entries are dealt by (chunk number,
-chunk value); a bucket of more than ``deal`` entries is dealt again by the 48 remaining bits in four chunks of 12, and that again by 9: each step
-is exact, as at most three bits differ. Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form
-a leaf with the mask of the bits that all of them share and their pattern, sixteen nodes form an upper node in the same way, and two nodes
-are compared only if their patterns differ in at most three commonly masked bits: a node's mask holds its parent's, so differences accumulate on
-the way down and whole groups are pruned. Of a bucket's links only a spanning star of each local component leaves the task: no link between
-different components is lost, and groups are not expanded into all pairs.
+Exact search (``near_groups``): 64 bits, links at up to three differing bits. Two such entries agree in one of four 16-bit chunks, so entries are
+dealt by (chunk number, chunk value); a bucket of more than ``deal`` entries is dealt again by the 48 remaining bits in four chunks of 12, and
+that again by 9: each step is exact, as at most three bits differ.
+
+Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
+have 256 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and links are entries
+within the bits that such pairs differ in (one standard deviation above their mean).
+
+Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form a leaf with the mask of the bits that
+all of them share and their pattern, sixteen nodes form an upper node in the same way, and two nodes are compared only if their patterns
+differ in no more commonly masked bits than the radius: a node's mask holds its parent's, so differences accumulate on the way down and whole
+groups are pruned. So are two nodes whose members are all in one component already, which keeps a large group of near copies from being
+compared pair by pair. Of a bucket's links only a spanning star of each local component leaves the task: no link between different components is
+lost, and groups are not expanded into all pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give one shingle of all words;
 repeated rows get the same component; a null doc_id gets the least known doc_id of its component (null if none is known); an empty table gives no
@@ -18,6 +25,8 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,40 +39,53 @@ from kindred.operators.graph import connected_components
 from kindred.plans.scratch import Scratch
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Words of a shingle, least Jaccard similarity, recall of the dealing at that similarity, and 64-bit words of a fingerprint in search by similarity.
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.95, 4
 #: Entries of a bucket beyond which it is dealt again; members of a node of the index.
 DEAL, FANOUT = 20_000, 16
-#: Words whose shingles are hashed at once.
-_WORDS = 1 << 16
-
-
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Lower-cases A-Z and splits on ASCII white space, as bytes methods do."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    counts, total, digest = np.zeros(64, np.int64), len(words) - shingle + 1, xxhash.xxh64_intdigest
+#: Words whose shingles are hashed at once; pairs of nodes that are compared at once.
+_WORDS, _PAIRS = 1 << 16, 1 << 13
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Further 64 bits of each hash; word 0 is the hash itself."""
+    if not word:
+        return hashes
+    out = hashes + np.uint64((0x9E3779B97F4A7C15 * word) & ((1 << 64) - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1, seed: int = SEED) -> np.ndarray:
+    """The fingerprint's 64-bit words. Lower-cases A-Z and splits on ASCII white space, as bytes methods do."""
+    said = text.encode().lower().split()
+    if not said:
+        return np.zeros(words, np.uint64)
+    shingle = min(shingle, len(said))
+    counts, total, digest = np.zeros((words, 64), np.int64), len(said) - shingle + 1, xxhash.xxh64_intdigest
     for at in range(0, total, _WORDS):
-        part = words[at : at + _WORDS + shingle - 1]
+        part = said[at : at + min(_WORDS, total - at) + shingle - 1]
         hashes = np.array([digest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(shingle)))], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
+        for k in range(words):
+            counts[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long, or as bytes if it has more than one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fp = np.array([fingerprint(t, shingle) for t in texts(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            found = [fingerprint(t, shingle, words) for t in texts(batch, "text")]
+            fp = pa.array(np.concatenate(found).view(np.int64)) if words == 1 else pa.array([f.astype(">u8").tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {'long' if words == 1 else 'binary'}")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
-    """The place of each fingerprint in Gray-code order."""
+    """The place of 64-bit words in Gray-code order."""
     out = fp.copy()
     for s in (1, 2, 4, 8, 16, 32):
         out ^= out >> np.uint64(s)
@@ -71,89 +93,95 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (mask, pattern) over fingerprints in Gray order; level 0 is the fingerprints themselves, with full masks."""
+    """Levels of (mask, pattern) over distinct fingerprints (rows of 64-bit words) in Gray order; level 0 is the fingerprints, with full masks."""
 
     def __init__(self, fp: np.ndarray):
-        self.order = np.argsort(gray_rank(fp), kind="stable")
-        full = np.full(len(fp), ~np.uint64(0))
-        self.levels = [(full, fp[self.order])]
+        self.order = np.lexsort([gray_rank(fp[:, k]) for k in range(fp.shape[1] - 1, -1, -1)])
+        self.levels = [(np.full(fp.shape, ~np.uint64(0)), fp[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
             mask, pattern = self.levels[-1]
             starts = np.arange(0, len(mask), FANOUT)
             ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
             self.levels.append((ones | zeros, ones))
 
-    def links(self, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (of the original array) within the radius, each once, a part at a time."""
-        top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        i, j = np.triu_indices(n, 0 if top else 1)
+    def stars(self, radius: int) -> np.ndarray:
+        """For each fingerprint the place of its component's first one, by links within the radius."""
+        top, n = len(self.levels) - 1, len(self.order)
+        root = np.arange(n)  # by place in Gray order
+        i, j = np.triu_indices(len(self.levels[top][0]), 0 if top else 1)
         stack = [(top, i, j)]
         while stack:
             level, i, j = stack.pop()
-            if len(i) > 1 << 13:  # bounds the memory of one step, whatever the bucket
-                stack += [(level, a, b) for a, b in zip(np.array_split(i, len(i) // (1 << 13) + 1), np.array_split(j, len(i) // (1 << 13) + 1))]
+            if len(i) > _PAIRS:  # bounds the memory of one step, whatever the bucket
+                stack += [(level, i[k : k + _PAIRS], j[k : k + _PAIRS]) for k in range(0, len(i), _PAIRS)][::-1]
                 continue
+            if level:
+                starts = np.arange(0, n, FANOUT**level)
+                low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+                apart = (low[i] != high[j]) | (high[i] != low[j])
+            else:
+                apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
             mask, pattern = self.levels[level]
-            near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= radius
+            near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]).sum(1, dtype=np.int64) <= radius
             i, j = i[near], j[near]
             if not len(i):
                 continue
             if not level:
-                yield self.order[i], self.order[j]
+                _union(root, i, j)
                 continue
-            below = len(self.levels[level - 1][0])
-            step = np.arange(FANOUT)
-            a = (i[:, None] * FANOUT + step)[:, :, None]
-            b = (j[:, None] * FANOUT + step)[:, None, :]
-            a, b = np.broadcast_arrays(a, b)
+            below, step = len(self.levels[level - 1][0]), np.arange(FANOUT)
+            a, b = np.broadcast_arrays((i[:, None] * FANOUT + step)[:, :, None], (j[:, None] * FANOUT + step)[:, None, :])
             a, b = a.ravel(), b.ravel()
             ok = (a < below) & (b < below) & ((a <= b) if level > 1 else (a < b))
-            stack.append((level - 1, a[ok], b[ok]))
-
-
-def stars(fp: np.ndarray) -> np.ndarray:
-    """For each of the distinct fingerprints the place of its component's first member, by links within the array."""
-    root = np.arange(len(fp))
-    for i, j in GrayIndex(fp).links():
+            a, b = a[ok], b[ok]
+            near_first = np.argsort(b - a, kind="stable")  # neighbours in Gray order most likely join, which prunes the rest
+            stack.append((level - 1, a[near_first], b[near_first]))
+        out = np.empty(n, np.int64)
+        first = np.full(n, n, np.int64)
+        np.minimum.at(first, root, self.order)
+        out[self.order] = first[root]
+        return out
+
+
+def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of each pair; every member then points at its component's least place."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
+            up = root[root]
+            if (up == root).all():
                 break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-    return root
-
-
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (src, dst) of the local stars of each bucket in a partition."""
-    held = [(column(b, "bucket").to_numpy(), column(b, "fp").to_numpy()) for b in batches if b.num_rows]
+            root[:] = up
+
+
+def _spanning(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, words: int = 1) -> Iterator[pa.RecordBatch]:
+    """Edges (src, dst) between entry ids: the local stars of each bucket in a partition."""
+    held = [b for b in batches if b.num_rows]
     if not held:
         return
-    bucket, fp = (np.concatenate(x) for x in zip(*held))
-    del held
-    order = np.lexsort((fp, bucket))
-    bucket, fp = bucket[order], fp[order].view(np.uint64)
+    table = pa.Table.from_batches(held)
+    bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
+    fp = table["fp"].to_numpy().view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(table["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    del held, table
+    order = np.lexsort((ids, bucket))
+    bucket, ids, fp = bucket[order], ids[order], fp[order]
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, len(bucket)])
-    src, dst = [], []
     two = starts[sizes == 2]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
-    src.append(fp[near])
-    dst.append(fp[near + 1])
+    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radius]
+    src, dst = [ids[near]], [ids[near + 1]]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        part = fp[s : s + n]
-        root = stars(part)
+        root = GrayIndex(fp[s : s + n]).stars(radius)
         moved = np.flatnonzero(root != np.arange(n))
-        src.append(part[root[moved]])
-        dst.append(part[moved])
-    src, dst = np.concatenate(src).view(np.int64), np.concatenate(dst).view(np.int64)
+        src.append(ids[s + root[moved]])
+        dst.append(ids[s + moved])
+    src, dst = np.concatenate(src), np.concatenate(dst)
     if len(src):
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
@@ -190,28 +218,81 @@ def _buckets(entries: DataFrame, deal: int) -> DataFrame:
     return out
 
 
-def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, deal: int = DEAL) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    spark = docs.sparkSession
-    marked = scratch.cut(fingerprints(docs, shingle))
-    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    dealt = _buckets(entries.select("fp"), deal)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = dealt.repartition(parts, "bucket").mapInArrow(_spanning, "src long, dst long")
+def _components(marked: DataFrame, entries: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, fp, component_id from documents (doc_id, fp), entries (fp, id, least) and links between entry ids."""
     linked = scratch.cut(connected_components(edges, scratch=scratch))
-    lone = entries.join(linked, entries["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    # Both sides of the joins are plain exchanges, so that adaptive execution may split a fingerprint that a third of all rows share.
+    lone = entries.join(linked, entries["id"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "id").alias("component"))
+    # Both sides of the joins are plain exchanges of tables, so that adaptive execution may split a fingerprint that a third of all rows share.
     found = scratch.cut(lone)
     least = scratch.cut(found.groupBy("component").agg(F.min("least").alias("component_id")))
     named = scratch.cut(found.join(least, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -> DataFrame:
+def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, deal: int = DEAL) -> DataFrame:
+    """doc_id, fp, component_id for every row: links at up to three bits of 64, all of them."""
+    marked = scratch.cut(fingerprints(docs, shingle))
+    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
+    dealt = _buckets(entries.select("fp"), deal).withColumn("id", F.col("fp"))
+    return _components(marked, entries, dealt.repartition(_parts(docs), "bucket").mapInArrow(_spanning, "src long, dst long"), scratch)
+
+
+def _parts(docs: DataFrame) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def bit_share(similarity: float) -> float:
+    """The expected share of differing bits of two sets of equal size with that Jaccard similarity: the angle of their vectors over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bit_samples(entries: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED) -> list[list[int]]:
+    """Places of the bits that deal: so many bits that a bucket holds some 16 unrelated entries, so many samples that the recall is met."""
+    width = max(12, math.ceil(math.log2(max(entries, 2))) - 4)
+    agree = (1 - bit_share(similarity)) ** width
+    draw = random.Random(seed)
+    return [sorted(draw.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, fp (bytes), component_id for every row: links between texts of the similarity, told from 256 bits."""
+    marked = scratch.cut(fingerprints(docs, shingle, WIDE))
+    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    samples = bit_samples(entries.count(), similarity)
+    share, bits = bit_share(similarity), 64 * WIDE
+    radius = round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                bit = np.unpackbits(np.frombuffer(b"".join(column(part, "fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                for k, places in enumerate(samples):
+                    key = xx_rows(np.packbits(bit[:, places], axis=1), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), column(part, "fp")], ["bucket", "id", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _spanning(batches, radius, WIDE)
+
+    dealt = entries.select("id", "fp").mapInArrow(deal, "bucket long, id long, fp binary").repartition(_parts(docs), "bucket")
+    return _components(marked, entries, dealt.mapInArrow(search, "src long, dst long"), scratch)
+
+
+def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:
+    """A signed 64-bit number for each row of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = np.full(len(rows), np.uint64(salt + 1))
+    for word in wide.view("<u8").T:
+        out = _mixed(out ^ word, 1)
+    return out.view(np.int64)
+
+
+def drop_near_copies(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least doc_id (rows without a doc_id stay)."""
-    goes = near_groups(docs, scratch, shingle).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(goes, F.col("doc_id") == F.col("_id"), "left_anti")
-    return rest
+    groups = similar_groups(docs, scratch, shingle, similarity)
+    goes = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct()
+    return docs.join(goes, F.col("doc_id") == F.col("_near_id"), "left_anti")
 
 
 def op9_simhash_gray(spark, sf_dir: str) -> DataFrame:
