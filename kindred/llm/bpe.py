@@ -11,22 +11,23 @@ a null doc_id is kept; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from kindred.llm.arrow import column, slices, texts
 from kindred.plans.scratch import Scratch
 
 #: Fixed value: the pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's cache of pre-tokens, and characters of the longest one in it.
-CACHE, CACHED_CHARS = 300_000, 64
+#: Entries of each of a worker's two generations of cached pre-tokens, and characters of the longest one in them.
+CACHE, CACHED_CHARS = 200_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -51,17 +52,16 @@ class Bpe:
         ids = {raw(t): i for t, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
-        self.single = [ids.get(bytes([b]), -1) for b in range(256)]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate((raw(x), raw(y)) for x, y in pairs)}
+        self.model = Tokenizer.from_buffer(blob).model
+        self.stand_in = {b: c for c, b in symbol.items()}
         self.joint = bytearray(1 << 16)
         for t in ids:
             for a, b in zip(t, t[1:]):
                 self.joint[a << 8 | b] = 1
         self.pattern = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces: dict[str, bytes] = {}
-        self.fragments: dict[bytes, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens and added tokens in order. No pre-token equals an added token unless it is one."""
@@ -85,57 +85,25 @@ class Bpe:
         out.append(piece[start:])
         return out
 
-    def merge(self, fragment: bytes) -> list[int]:
-        """Ids of one fragment: merge the pair of lowest rank, leftmost first, until none is left."""
-        ids = [self.single[b] for b in fragment]
-        n = len(ids)
-        if n == 1:
-            return ids
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(*self.merges[ids[i], ids[i + 1]], i, ids[i], ids[i + 1]) for i in range(n - 1) if (ids[i], ids[i + 1]) in self.merges]
-        queue = [(rank, i, a, b, new) for rank, new, i, a, b in queue]
-        heapq.heapify(queue)
-        while queue:
-            _, i, a, b, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = new, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if left >= 0 and right >= 0 and (found := self.merges.get((ids[left], ids[right]))):
-                    heapq.heappush(queue, (found[0], left, ids[left], ids[right], found[1]))
-        return [x for x in ids if x >= 0]
-
     def encode_piece(self, piece: str) -> list[int]:
         if piece in self.added:
             return [self.added[piece]]
-        out: list[int] = []
-        for f in self.cut(piece.encode()):
-            ids = self.fragments.get(f)
-            if ids is None:
-                ids = self.merge(f)
-                if len(f) <= CACHED_CHARS:
-                    if len(self.fragments) >= CACHE:
-                        self.fragments.clear()
-                    self.fragments[f] = ids
-            out += ids
-        return out
+        return [t.id for f in self.cut(piece.encode()) for t in self.model.tokenize(f.decode("latin-1").translate(self.stand_in))]
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        cache, out = self.pieces, []
+        """The text's ids as 32-bit integers."""
+        young, out = self.young, []
         for piece in self.pre_tokens(text):
-            ids = cache.get(piece)
+            ids = young.get(piece)
             if ids is None:
-                ids = b"".join(i.to_bytes(4, "little") for i in self.encode_piece(piece))
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = array("i", self.encode_piece(piece)).tobytes()
                 if len(piece) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = ids
+                    if len(young) >= CACHE:
+                        self.old, self.young = young, {}
+                        young = self.young
+                    young[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -189,8 +157,8 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
-#: Pre-tokens whose counts every worker gets: the most frequent ones of the corpus, of at most CACHED_CHARS characters, so some 10 MB at most.
-COMMON = 100_000
+#: A pre-token is common if it makes up this share of all occurrences: no more than 1 / share can be, whatever the corpus.
+COMMON = 1e-6
 
 
 def vocabulary(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
@@ -221,16 +189,17 @@ def vocabulary(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
     return scratch.cut(pieces.mapInArrow(count, "piece string, n long, tokens long"))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, common: int = COMMON) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, common: float = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens. No ids are made: pieces per distinct pre-token are joined to each document's pre-token frequencies and summed.
 
-    The ``common`` most frequent pre-tokens are joined within the workers by a table of fixed size, as a broadcast join does; the others, of which
-    none has more than a ``common``-th of all occurrences, by a shuffle on the pre-token. So no pre-token is a hot key.
+    Pre-tokens that make up the share ``common`` of all occurrences (and have at most CACHED_CHARS characters) are joined within the workers by a
+    table of at most 1 / common entries, as a broadcast join does; all others by a shuffle on the pre-token. So no pre-token is a hot key.
     """
     spark = docs.sparkSession
     blob = _file(spark, tokenizer)
     words = vocabulary(docs, blob, scratch)
-    top = words.where(F.length("piece") <= CACHED_CHARS).orderBy(F.desc("n"), "piece").limit(common).select("piece", "tokens").collect()
+    total = words.agg(F.sum("n")).first()[0] or 0
+    top = words.where((F.length("piece") <= CACHED_CHARS) & (F.col("n") >= max(2, total * common))).select("piece", "tokens").collect()
     known = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in top})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
