@@ -164,10 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
     if not seen[0] or seen[1] in (0.0, 1.0):
         flat = F.lit(float(seen[1] or 0.0)).alias("_tox_score")
         return lambda df, keep=False: df.select(*[c for c in df.columns if keep or c != "text"], flat)
-    trees = GBTClassifier(
-        featuresCol="_tox_features", labelCol="toxic", rawPredictionCol="_tox_margin", probabilityCol="_tox_p", predictionCol="_tox_class",
-        maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=5, seed=SEED,
-    ).fit(fit)
+    boosted = GBTClassifier(featuresCol="_tox_features", labelCol="toxic", predictionCol="_tox_class", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=5, seed=SEED)
+    trees = boosted.setRawPredictionCol("_tox_margin").setProbabilityCol("_tox_p").fit(fit)
 
     def raw(df: DataFrame) -> DataFrame:
         return trees.transform(df).withColumn("_tox_raw", vector_to_array("_tox_p")[1]).drop("_tox_margin", "_tox_p", "_tox_class", "_tox_features")
