@@ -1,7 +1,7 @@
 """Main-text extraction by consensus host paths.
 
 Each page's containers are scored: a block of text counts for the container that it stands in, less for those around it, link text not at all.
-The best containers of each page vote with their share of the score for their generalised path (tags with classes, digits unified); Spark sums the
+The best containers of each page vote, by their share of its best score, for their generalised path (tags with classes, digits unified); Spark sums the
 votes per host and path, and each host's winning path is used to extract its pages again. A page where the winner is absent or empty uses its own
 best container.
 
@@ -167,8 +167,8 @@ class Page:
         return "\n".join(self.blocks[best[3] : best[4]]) if best else ""
 
 
-#: Containers of a page that vote.
-VOTERS = 3
+#: Containers of a page that vote, and the power of their share of the best one's score: wrappers, second on every page, must not win by diligence.
+VOTERS, SHARPNESS = 3, 4
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +176,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[tuple[str, str], int] = {}
         for host, page in zip(column(batch, "host").to_pylist(), texts(batch, "html")):
             ranked = Page(page).ranked()[:VOTERS]
-            total = sum(n[2] for n in ranked)
             for n in ranked:
-                rows[host, n[0]] = rows.get((host, n[0]), 0) + round(1000 * n[2] / total)
+                rows[host, n[0]] = rows.get((host, n[0]), 0) + round(1000 * (n[2] / ranked[0][2]) ** SHARPNESS)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows]), pa.array([p for _, p in rows]), pa.array(list(rows.values()), pa.int64())], ["host", "path", "votes"])
 
