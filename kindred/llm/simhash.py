@@ -9,7 +9,8 @@ that again by 9: each step is exact, as at most three bits differ.
 
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
 have 256 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and links are entries
-within the bits that such pairs differ in (one standard deviation above their mean).
+within the bits that such pairs differ in (one and a half standard deviations above their mean). So recall is a matter of chance, and documented
+in the README; it is higher the more similar the texts and the larger a group.
 
 Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form a leaf with the mask of the bits that
 all of them share and their pattern, sixteen nodes form an upper node in the same way, and two nodes are compared only if their patterns
@@ -40,7 +41,7 @@ from kindred.plans.scratch import Scratch
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle, least Jaccard similarity, recall of the dealing at that similarity, and 64-bit words of a fingerprint in search by similarity.
-WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.95, 4
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 4
 #: Entries of a bucket beyond which it is dealt again; members of a node of the index.
 DEAL, FANOUT = 20_000, 16
 #: Words whose shingles are hashed at once; pairs of nodes that are compared at once.
@@ -260,7 +261,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
     entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
     samples = bit_samples(entries.count(), similarity)
     share, bits = bit_share(similarity), 64 * WIDE
-    radius = round(bits * share + math.sqrt(bits * share * (1 - share)))
+    radius = round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
