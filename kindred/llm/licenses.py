@@ -132,3 +132,28 @@ def op8_license_positional(spark, sf_dir: str) -> DataFrame:
         labels(F.col("found")).alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _sql() -> str:
+    """The same places and scores from plain comparison of every template at every word."""
+    letters = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+    lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for label, base, text, phrase in TEMPLATES:
+        whole, key = text.split(), phrase.split()
+        at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+        rows.append(f"('{label}', {base}, {lists(whole)}, {lists(key)}, {at})")
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {letters}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+t(label, base, whole, key, off) AS (VALUES {", ".join(rows)}),
+h AS (
+  SELECT r, label, base, s, list_sum(list_transform(range(len(whole)), lambda i: (s - off + i >= 0 AND coalesce(ws[greatest(s - off + i, 0) + 1] = whole[i + 1], false))::INT)) / len(whole)::DOUBLE AS score
+  FROM (SELECT w.*, t.*, unnest(range(len(ws) - len(key) + 1)) AS s FROM w, t WHERE len(ws) >= len(key)) WHERE ws[s + 1 : s + len(key)] = key)
+SELECT doc_id, len(ws)::BIGINT AS n_words, count(h.r) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0)::DOUBLE AS score
+FROM w LEFT JOIN h USING (r) GROUP BY r, doc_id, ws
+"""
+
+
+OP8_SQL = _sql()

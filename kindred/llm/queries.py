@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash_gray": simhash.op9_simhash_gray,
     "op10_benchmark_qgram": decontaminate.op10_benchmark_qgram,
 }
-SQL = {"op2_chat_prefix_targets": chat.OP2_SQL, "op4_exact_block_naming": exact.OP4_SQL}
+SQL = {"op2_chat_prefix_targets": chat.OP2_SQL, "op4_exact_block_naming": exact.OP4_SQL, "op8_license_positional": licenses.OP8_SQL}
