@@ -149,7 +149,7 @@ WITH w AS (
 t(label, base, whole, key, off) AS (VALUES {", ".join(rows)}),
 h AS (
   SELECT r, label, base, s, list_sum(list_transform(range(len(whole)), lambda i: (s - off + i >= 0 AND coalesce(ws[greatest(s - off + i, 0) + 1] = whole[i + 1], false))::INT)) / len(whole)::DOUBLE AS score
-  FROM (SELECT w.*, t.*, unnest(range(len(ws) - len(key) + 1)) AS s FROM w, t WHERE len(ws) >= len(key)) WHERE ws[s + 1 : s + len(key)] = key)
+  FROM (SELECT w.*, t.*, unnest(range(len(ws) - len(key) + 1)) AS s FROM w, t WHERE len(ws) >= len(key) AND list_contains(ws, key[1])) WHERE ws[s + 1 : s + len(key)] = key)
 SELECT doc_id, len(ws)::BIGINT AS n_words, count(h.r) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0)::DOUBLE AS score
 FROM w LEFT JOIN h USING (r) GROUP BY r, doc_id, ws

@@ -1,6 +1,8 @@
 import re
 import string
 
+import duckdb
+
 from kindred.llm import licenses as L
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -44,3 +46,8 @@ def test_whole_table(spark, sf):
 
 def test_no_rows(nothing):
     assert L.scan_licenses(nothing).count() == 0
+
+
+def test_same_as_sql(spark, sf):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, L.op8_license_positional(spark, sf).collect())) == sorted(duckdb.sql(L.OP8_SQL).fetchall())
