@@ -8,20 +8,22 @@ dealt by (chunk number, chunk value); a bucket of more than ``deal`` entries is
 that again by 9: each step is exact, as at most three bits differ.
 
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
-have 256 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and links are entries
-within the bits that such pairs differ in (one and a half standard deviations above their mean). So recall is a matter of chance, and documented
-in the README; it is higher the more similar the texts and the larger a group.
+have 512 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
+within the bits that such pairs differ in (``SPREAD`` standard deviations above their mean). Each proposed link is then held against the whole
+texts' shingle sets, and only links of the similarity stay. Within a bucket the nearest entries are proposed first; entries that a failed link
+leaves apart from the most linked entry of their proposed group are held against that entry too. So precision is exact, and recall a
+matter of chance, documented in the README; it is higher the more similar the texts.
 
 Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form a leaf with the mask of the bits that
 all of them share and their pattern, sixteen nodes form an upper node in the same way, and two nodes are compared only if their patterns
 differ in no more commonly masked bits than the radius: a node's mask holds its parent's, so differences accumulate on the way down and whole
 groups are pruned. So are two nodes whose members are all in one component already, which keeps a large group of near copies from being
-compared pair by pair. Of a bucket's links only a spanning star of each local component leaves the task: no link between different components is
+compared pair by pair. Of a bucket's links only a spanning forest leaves the task: no link between different components is
 lost, and groups are not expanded into all pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give one shingle of all words;
 repeated rows get the same component; a null doc_id gets the least known doc_id of its component (null if none is known); an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read. In search by similarity a row without a doc_id is linked by an equal fingerprint only.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ from kindred.plans.scratch import Scratch
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle, least Jaccard similarity, recall of the dealing at that similarity, and 64-bit words of a fingerprint in search by similarity.
-WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 4
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 8
+#: Standard deviations above the mean of differing bits within which a link is proposed, and the shares of that radius that are searched in turn.
+SPREAD, STEPS = 2.5, (0.5, 0.75, 1.0)
 #: Entries of a bucket beyond which it is dealt again; members of a node of the index.
 DEAL, FANOUT = 20_000, 16
 #: Words whose shingles are hashed at once; pairs of nodes that are compared at once.
@@ -58,21 +62,42 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit; sums of 255 rows fit a byte."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    return bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
+
+
+def _shingles(said: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text's words, ``_WORDS`` at a time."""
+    total, digest = len(said) - shingle + 1, xxhash.xxh64_intdigest
+    for at in range(0, total, _WORDS):
+        part = said[at : at + min(_WORDS, total - at) + shingle - 1]
+        yield np.array([digest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(shingle)))], "<u8")
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1, seed: int = SEED) -> np.ndarray:
     """The fingerprint's 64-bit words. Lower-cases A-Z and splits on ASCII white space, as bytes methods do."""
     said = text.encode().lower().split()
     if not said:
         return np.zeros(words, np.uint64)
     shingle = min(shingle, len(said))
-    counts, total, digest = np.zeros((words, 64), np.int64), len(said) - shingle + 1, xxhash.xxh64_intdigest
-    for at in range(0, total, _WORDS):
-        part = said[at : at + min(_WORDS, total - at) + shingle - 1]
-        hashes = np.array([digest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(shingle)))], "<u8")
+    counts, total = np.zeros((words, 64), np.int64), len(said) - shingle + 1
+    for hashes in _shingles(said, shingle, seed):
         for k in range(words):
-            counts[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            counts[k] += _ones(_mixed(hashes, k))
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
+def shingle_set(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct shingles' hashes, as signed longs."""
+    said = text.encode().lower().split()
+    if not said:
+        return np.zeros(0, np.int64)
+    return np.unique(np.concatenate(list(_shingles(said, min(shingle, len(said)), seed)))).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long, or as bytes if it has more than one word."""
 
@@ -105,10 +130,27 @@ class GrayIndex:
             ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
             self.levels.append((ones | zeros, ones))
 
+    def links(self, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, j) of a spanning forest of the links within the last radius; each is such a link, and links within a lesser radius come first."""
+        root, found = np.arange(len(self.order)), []  # by place in Gray order
+        for radius in radii:
+            found += self._search(root, radius)
+        i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+        return self.order[i], self.order[j]
+
     def stars(self, radius: int) -> np.ndarray:
         """For each fingerprint the place of its component's first one, by links within the radius."""
-        top, n = len(self.levels) - 1, len(self.order)
-        root = np.arange(n)  # by place in Gray order
+        n = len(self.order)
+        root = np.arange(n)
+        self._search(root, radius)
+        out, first = np.empty(n, np.int64), np.full(n, n, np.int64)
+        np.minimum.at(first, root, self.order)
+        out[self.order] = first[root]
+        return out
+
+    def _search(self, root: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Joins the components in ``root`` by links within the radius; the links used."""
+        top, n, found = len(self.levels) - 1, len(self.order), []
         i, j = np.triu_indices(len(self.levels[top][0]), 0 if top else 1)
         stack = [(top, i, j)]
         while stack:
@@ -124,12 +166,14 @@ class GrayIndex:
                 apart = root[i] != root[j]
             i, j = i[apart], j[apart]
             mask, pattern = self.levels[level]
-            near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]).sum(1, dtype=np.int64) <= radius
+            differ = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]).sum(1, dtype=np.int64)
+            near = differ <= radius
             i, j = i[near], j[near]
             if not len(i):
                 continue
             if not level:
-                _union(root, i, j)
+                nearest = np.argsort(differ[near], kind="stable")
+                found += _union(root, i[nearest], j[nearest])
                 continue
             below, step = len(self.levels[level - 1][0]), np.arange(FANOUT)
             a, b = np.broadcast_arrays((i[:, None] * FANOUT + step)[:, :, None], (j[:, None] * FANOUT + step)[:, None, :])
@@ -138,22 +182,21 @@ class GrayIndex:
             a, b = a[ok], b[ok]
             near_first = np.argsort(b - a, kind="stable")  # neighbours in Gray order most likely join, which prunes the rest
             stack.append((level - 1, a[near_first], b[near_first]))
-        out = np.empty(n, np.int64)
-        first = np.full(n, n, np.int64)
-        np.minimum.at(first, root, self.order)
-        out[self.order] = first[root]
-        return out
+        return found
 
 
-def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the components of each pair; every member then points at its component's least place."""
+def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Join the components of each pair, earlier pairs first; every member then points at its component's least place. The pairs that joined."""
+    used = []
     while True:
         a, b = root[i], root[j]
         apart = a != b
         if not apart.any():
-            return
+            return used
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        root[high] = np.minimum(a, b)[first]
+        used.append((i[first], j[first]))
         while True:
             up = root[root]
             if (up == root).all():
@@ -161,8 +204,8 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = up
 
 
-def _spanning(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, words: int = 1) -> Iterator[pa.RecordBatch]:
-    """Edges (src, dst) between entry ids: the local stars of each bucket in a partition."""
+def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIUS,), words: int = 1) -> Iterator[pa.RecordBatch]:
+    """Edges (src, dst) between entry ids: a spanning forest of the links of each bucket in a partition."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -175,13 +218,12 @@ def _spanning(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, words: in
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, len(bucket)])
     two = starts[sizes == 2]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radius]
+    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radii[-1]]
     src, dst = [ids[near]], [ids[near + 1]]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        root = GrayIndex(fp[s : s + n]).stars(radius)
-        moved = np.flatnonzero(root != np.arange(n))
-        src.append(ids[s + root[moved]])
-        dst.append(ids[s + moved])
+        i, j = GrayIndex(fp[s : s + n]).links(radii)
+        src.append(ids[s + i])
+        dst.append(ids[s + j])
     src, dst = np.concatenate(src), np.concatenate(dst)
     if len(src):
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
@@ -255,13 +297,12 @@ def bit_samples(entries: int, similarity: float = SIMILARITY, recall: float = RE
     return [sorted(draw.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
 
 
-def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, fp (bytes), component_id for every row: links between texts of the similarity, told from 256 bits."""
-    marked = scratch.cut(fingerprints(docs, shingle, WIDE))
-    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: unequal ids of ``entries`` (id, fp) whose bits differ no more than those of texts of the similarity do."""
     samples = bit_samples(entries.count(), similarity)
     share, bits = bit_share(similarity), 64 * WIDE
-    radius = round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+    radius = round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+    radii = tuple(round(radius * x) for x in STEPS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,10 +314,58 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
                     yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), column(part, "fp")], ["bucket", "id", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _spanning(batches, radius, WIDE)
+        return _spanning(batches, radii, WIDE)
+
+    dealt = entries.select("id", "fp").mapInArrow(deal, "bucket long, id long, fp binary").repartition(parts, "bucket")
+    found = dealt.mapInArrow(search, "src long, dst long")
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
+    """id, grams (distinct shingle hashes) of each linked entry that has a doc_id, from the text of its least doc_id."""
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("fp").alias("_fp")))
+    wanted = scratch.cut(linked.select("least").distinct())  # a table of known size: sent to the tasks only if it is small
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            said = texts(batch, "text")
+            fp = pa.array([fingerprint(t, shingle, WIDE).astype(">u8").tobytes() for t in said], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), fp, pa.array([shingle_set(t, shingle) for t in said], pa.list_(pa.int64()))], ["doc_id", "fp", "grams"])
 
-    dealt = entries.select("id", "fp").mapInArrow(deal, "bucket long, id long, fp binary").repartition(_parts(docs), "bucket")
-    return _components(marked, entries, dealt.mapInArrow(search, "src long, dst long"), scratch)
+    few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("least"), "left_semi")
+    told = few.mapInArrow(run, "doc_id long, fp binary, grams array<long>")
+    own = told.join(linked, (F.col("doc_id") == F.col("least")) & (F.col("fp") == F.col("_fp")))
+    return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
+
+
+def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose sets have the similarity; two empty sets are alike."""
+    both = links.join(sets.select(F.col("id").alias("src"), F.col("grams").alias("_a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("grams").alias("_b")), "dst")
+    shared = both.select("src", "dst", F.size(F.array_intersect("_a", "_b")).alias("_k"), (F.size("_a") + F.size("_b")).alias("_n"))
+    return shared.where((F.col("_n") == 0) | (F.col("_k") / F.greatest(F.col("_n") - F.col("_k"), F.lit(1)) >= similarity)).select("src", "dst")
+
+
+def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: proposed links of the similarity, and such links to the most linked entry of each proposed group of what is apart from it."""
+    sure = scratch.cut(_alike(proposed, sets, similarity))
+    loose = scratch.cut(connected_components(proposed, scratch=scratch)).withColumnRenamed("component", "group")
+    tight = scratch.cut(connected_components(sure, scratch=scratch))
+    degree = sure.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    placed = scratch.cut(loose.join(tight, "node", "left").join(degree, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    centre = placed.groupBy("group").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"), "component")).alias("c")).select("group", (-F.col("c.least")).alias("centre"), F.col("c.component").alias("home"))
+    apart = placed.join(centre, "group").where(F.col("component") != F.col("home"))
+    more = apart.select(F.least("centre", "node").alias("src"), F.greatest("centre", "node").alias("dst")).join(proposed, ["src", "dst"], "left_anti")
+    return scratch.cut(sure.unionByName(_alike(more, sets, similarity)))
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, fp (bytes), component_id for every row: links between texts of the similarity, proposed by 512 bits and verified on whole texts."""
+    marked = scratch.cut(fingerprints(docs, shingle, WIDE))
+    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    proposed = scratch.cut(proposed_links(entries, _parts(docs), similarity))
+    links = verified_links(proposed, _sets(docs, entries, proposed, scratch, shingle), scratch, similarity)
+    return _components(marked, entries, links, scratch)
 
 
 def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:
@@ -292,7 +381,7 @@ def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:
 def drop_near_copies(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least doc_id (rows without a doc_id stay)."""
     groups = similar_groups(docs, scratch, shingle, similarity)
-    goes = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct()
+    goes = scratch.cut(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct())
     return docs.join(goes, F.col("doc_id") == F.col("_near_id"), "left_anti")
 
 

@@ -100,6 +100,26 @@ def test_similarity_recall(spark, scratch):
     assert sorted(kept) == sorted(k for k, _ in rows if found[k] == k)
 
 
+def test_links_are_direct_and_span():
+    fp = clustered(2)
+    i, j = S.GrayIndex(fp.reshape(-1, 1)).links((1, 3))
+    assert (np.bitwise_count(fp[i] ^ fp[j]) <= 3).all()
+    root = components(len(fp), close(fp))
+    assert components(len(fp), list(zip(i.tolist(), j.tolist()))) == root and len(i) == len(fp) - len(set(root))
+
+
+def test_links_are_verified_on_sets(spark, scratch):
+    sets = {1: range(100), 2: range(4, 104), 3: range(96, 196), 4: [*range(95), *range(200, 205)], 5: [], 6: []}
+    told = scratch.cut(spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "id long, grams array<long>"))
+    # 4 was proposed with 3 only, which is unlike; it is like 1, the most linked entry, and is held against that.
+    proposed = scratch.cut(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6), (1, 7)], "src long, dst long"))
+    more = scratch.cut(spark.createDataFrame([(1, 2), (1, 8), (3, 4), (2, 3)], "src long, dst long"))
+    told = scratch.cut(told.unionByName(spark.createDataFrame([(8, list(range(100)))], "id long, grams array<long>")))
+    assert {tuple(r) for r in S.verified_links(proposed, told, scratch).collect()} == {(1, 2), (1, 4), (5, 6)}
+    assert {tuple(r) for r in S.verified_links(more, told, scratch).collect()} == {(1, 2), (1, 8), (1, 4)}
+    assert S.verified_links(scratch.cut(proposed.where("src < 0")), told, scratch).count() == 0
+
+
 def test_drop_near_copies_on_odd_rows(odd, nothing, scratch):
     kept = S.drop_near_copies(odd, scratch)
     assert kept.columns == odd.columns
