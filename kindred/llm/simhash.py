@@ -46,8 +46,12 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 8
 #: Standard deviations above the mean of differing bits within which a link is proposed, and the shares of that radius that are searched in turn.
 SPREAD, STEPS = 2.5, (0.5, 0.75, 1.0)
+#: Bits fewer than it takes to number all entries by which they are dealt: a bucket holds some four unrelated entries.
+SPARE = 2
 #: Entries of a bucket beyond which it is dealt again; members of a node of the index.
 DEAL, FANOUT = 20_000, 16
+#: Entries whose pairs are compared outright in search by similarity, where few pairs of nodes can be pruned.
+LEAF = 128
 #: Words whose shingles are hashed at once; pairs of nodes that are compared at once.
 _WORDS, _PAIRS = 1 << 16, 1 << 13
 
@@ -121,10 +125,10 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Levels of (mask, pattern) over distinct fingerprints (rows of 64-bit words) in Gray order; level 0 is the fingerprints, with full masks."""
 
-    def __init__(self, fp: np.ndarray):
+    def __init__(self, fp: np.ndarray, leaf: int = FANOUT):
         self.order = np.lexsort([gray_rank(fp[:, k]) for k in range(fp.shape[1] - 1, -1, -1)])
         self.levels = [(np.full(fp.shape, ~np.uint64(0)), fp[self.order])]
-        while len(self.levels[-1][0]) > FANOUT:
+        while len(self.levels[-1][0]) > leaf:
             mask, pattern = self.levels[-1]
             starts = np.arange(0, len(mask), FANOUT)
             ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
@@ -133,7 +137,7 @@ class GrayIndex:
     def links(self, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Rows (i, j) of a spanning forest of the links within the last radius; each is such a link, and links within a lesser radius come first."""
         root, found = np.arange(len(self.order)), []  # by place in Gray order
-        for radius in radii:
+        for radius in radii if len(self.levels) > 1 else radii[-1:]:  # without upper nodes all pairs are at hand, and sorted
             found += self._search(root, radius)
         i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
         return self.order[i], self.order[j]
@@ -204,7 +208,7 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndar
             root[:] = up
 
 
-def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIUS,), words: int = 1) -> Iterator[pa.RecordBatch]:
+def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIUS,), words: int = 1, leaf: int = FANOUT) -> Iterator[pa.RecordBatch]:
     """Edges (src, dst) between entry ids: a spanning forest of the links of each bucket in a partition."""
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -221,7 +225,7 @@ def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIU
     near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radii[-1]]
     src, dst = [ids[near]], [ids[near + 1]]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        i, j = GrayIndex(fp[s : s + n]).links(radii)
+        i, j = GrayIndex(fp[s : s + n], leaf).links(radii)
         src.append(ids[s + i])
         dst.append(ids[s + j])
     src, dst = np.concatenate(src), np.concatenate(dst)
@@ -290,8 +294,8 @@ def bit_share(similarity: float) -> float:
 
 
 def bit_samples(entries: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED) -> list[list[int]]:
-    """Places of the bits that deal: so many bits that a bucket holds some 16 unrelated entries, so many samples that the recall is met."""
-    width = max(12, math.ceil(math.log2(max(entries, 2))) - 4)
+    """Places of the bits that deal: so many bits that a bucket holds few unrelated entries (``SPARE``), so many samples that the recall is met."""
+    width = max(12, math.ceil(math.log2(max(entries, 2))) - SPARE)
     agree = (1 - bit_share(similarity)) ** width
     draw = random.Random(seed)
     return [sorted(draw.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
@@ -302,7 +306,7 @@ def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARIT
     samples = bit_samples(entries.count(), similarity)
     share, bits = bit_share(similarity), 64 * WIDE
     radius = round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
-    radii = tuple(round(radius * x) for x in STEPS)
+    radii, leaf = tuple(round(radius * x) for x in STEPS), LEAF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,7 +318,7 @@ def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARIT
                     yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), column(part, "fp")], ["bucket", "id", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _spanning(batches, radii, WIDE)
+        return _spanning(batches, radii, WIDE, leaf)
 
     dealt = entries.select("id", "fp").mapInArrow(deal, "bucket long, id long, fp binary").repartition(parts, "bucket")
     found = dealt.mapInArrow(search, "src long, dst long")
