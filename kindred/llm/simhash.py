@@ -1,7 +1,7 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints: bits over word shingles; a bit is set if it is set in over half of the shingles' XXH64 (and of mixes of it beyond the first 64 bits).
-Equal fingerprints are one entry. Linked entries, and with them their documents, form components.
+Equal fingerprints are one entry (in search by similarity: equal shingle sets, told by 128 bits). Linked entries, and with them their documents, form components.
 
 Exact search (``near_groups``): 64 bits, links at up to three differing bits. Two such entries agree in one of four 16-bit chunks, so entries are
 dealt by (chunk number, chunk value); a bucket of more than ``deal`` entries is dealt again by the 48 remaining bits in four chunks of 12, and
@@ -23,7 +23,7 @@ lost, and groups are not expanded into all pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give one shingle of all words;
 repeated rows get the same component; a null doc_id gets the least known doc_id of its component (null if none is known); an empty table gives no
-rows; other columns are not read. In search by similarity a row without a doc_id is linked by an equal fingerprint only.
+rows; other columns are not read. In search by similarity a row without a doc_id is linked by an equal shingle set only.
 """
 
 from __future__ import annotations
@@ -102,16 +102,34 @@ def shingle_set(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.
     return np.unique(np.concatenate(list(_shingles(said, min(shingle, len(said)), seed)))).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long, or as bytes if it has more than one word."""
+def set_digest(grams: np.ndarray) -> bytes:
+    """128 bits that tell shingle sets apart."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [fingerprint(t, shingle, words) for t in texts(batch, "text")]
-            fp = pa.array(np.concatenate(found).view(np.int64)) if words == 1 else pa.array([f.astype(">u8").tobytes() for f in found], pa.binary())
+            fp = pa.array(np.concatenate([fingerprint(t, shingle) for t in texts(batch, "text")]).view(np.int64))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {'long' if words == 1 else 'binary'}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """doc_id, fp, digest, size: the wide fingerprint as bytes, and the digest and size of the shingle set, which alone tell equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            said = texts(batch, "text")
+            sets = [shingle_set(t, shingle) for t in said]
+            fp = [fingerprint(t, shingle, WIDE).astype(">u8").tobytes() for t in said]
+            digest = [set_digest(g) for g in sets]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], ["doc_id", "fp", "digest", "size"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary, digest binary, size long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -265,15 +283,15 @@ def _buckets(entries: DataFrame, deal: int) -> DataFrame:
     return out
 
 
-def _components(marked: DataFrame, entries: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, fp, component_id from documents (doc_id, fp), entries (fp, id, least) and links between entry ids."""
+def _components(marked: DataFrame, entries: DataFrame, edges: DataFrame, scratch: Scratch, key: str = "fp") -> DataFrame:
+    """doc_id, fp, component_id from documents (doc_id, fp, key), entries (key, id, least) and links between entry ids."""
     linked = scratch.cut(connected_components(edges, scratch=scratch))
-    lone = entries.join(linked, entries["id"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "id").alias("component"))
-    # Both sides of the joins are plain exchanges of tables, so that adaptive execution may split a fingerprint that a third of all rows share.
+    lone = entries.join(linked, entries["id"] == linked["node"], "left").select(key, "least", F.coalesce("component", "id").alias("component"))
+    # Both sides of the joins are plain exchanges of tables, so that adaptive execution may split a key that a third of all rows share.
     found = scratch.cut(lone)
     least = scratch.cut(found.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = scratch.cut(found.join(least, "component").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.cut(found.join(least, "component").select(key, "component_id"))
+    return marked.join(named, key).select("doc_id", "fp", "component_id")
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, deal: int = DEAL) -> DataFrame:
@@ -328,18 +346,17 @@ def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARIT
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """id, grams (distinct shingle hashes) of each linked entry that has a doc_id, from the text of its least doc_id."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("fp").alias("_fp")))
+    linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("digest").alias("_digest")))
     wanted = scratch.cut(linked.select("least").distinct())  # a table of known size: sent to the tasks only if it is small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            said = texts(batch, "text")
-            fp = pa.array([fingerprint(t, shingle, WIDE).astype(">u8").tobytes() for t in said], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), fp, pa.array([shingle_set(t, shingle) for t in said], pa.list_(pa.int64()))], ["doc_id", "fp", "grams"])
+            sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "digest", "grams"])
 
     few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("least"), "left_semi")
-    told = few.mapInArrow(run, "doc_id long, fp binary, grams array<long>")
-    own = told.join(linked, (F.col("doc_id") == F.col("least")) & (F.col("fp") == F.col("_fp")))
+    told = few.mapInArrow(run, "doc_id long, digest binary, grams array<long>")
+    own = told.join(linked, (F.col("doc_id") == F.col("least")) & (F.col("digest") == F.col("_digest")))
     return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
 
 
@@ -365,11 +382,12 @@ def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, simil
 
 def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, fp (bytes), component_id for every row: links between texts of the similarity, proposed by 512 bits and verified on whole texts."""
-    marked = scratch.cut(fingerprints(docs, shingle, WIDE))
-    entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    marked = scratch.cut(wide_fingerprints(docs, shingle))
+    # Equal fingerprints don't mean equal sets: one entry a set, so that links between equal fingerprints are verified like all others.
+    entries = scratch.cut(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
     proposed = scratch.cut(proposed_links(entries, _parts(docs), similarity))
     links = verified_links(proposed, _sets(docs, entries, proposed, scratch, shingle), scratch, similarity)
-    return _components(marked, entries, links, scratch)
+    return _components(marked, entries, links, scratch, "digest")
 
 
 def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:

@@ -126,3 +126,12 @@ def test_drop_near_copies_on_odd_rows(odd, nothing, scratch):
     ids = [r["doc_id"] for r in kept.collect()]
     assert {1, 4, 7, 10, 11, 12} <= set(ids) and not {2, 3, 8} & set(ids) and ids.count(None) == 2
     assert S.drop_near_copies(nothing, scratch).count() == 0
+
+
+def test_equal_fingerprints_are_verified(spark, scratch):
+    draw = np.random.default_rng(5)
+    line = " ".join(f"line{k}" for k in range(7))
+    rows = [(k, " ".join([line] * 300 + [f"w{x}" for x in draw.integers(0, 10**6, 200)])) for k in (1, 2)]  # one line sets every bit
+    assert (S.fingerprint(rows[0][1], 5, S.WIDE) == S.fingerprint(rows[1][1], 5, S.WIDE)).all()
+    found = S.similar_groups(spark.createDataFrame([*rows, (3, rows[0][1] + " " + line)], "doc_id long, text string"), scratch)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 1}
