@@ -10,8 +10,9 @@ that again by 9: each step is exact, as at most three bits differ.
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
 have 512 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
 within the bits that such pairs differ in (``SPREAD`` standard deviations above their mean). Each proposed link is then held against the whole
-texts' shingle sets, and only links of the similarity stay. Within a bucket the nearest entries are proposed first; entries that a failed link
-leaves apart from the most linked entry of their proposed group are held against that entry too. So precision is exact, and recall a
+texts' shingle sets, and only links of the similarity stay. Within a bucket the nearest entries are proposed first, as a spanning forest; entries that a failed
+link leaves apart from the most linked entry of their proposed group are held against that entry too, and then all pairs of a bucket within the
+radius whose ends are still in different verified components are. So no failed link hides a true one, precision is exact, and recall a
 matter of chance, documented in the README; it is higher the more similar the texts.
 
 Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form a leaf with the mask of the bits that
@@ -172,7 +173,20 @@ class GrayIndex:
 
     def _search(self, root: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Joins the components in ``root`` by links within the radius; the links used."""
-        top, n, found = len(self.levels) - 1, len(self.order), []
+        found = []
+        for i, j in self._near(root, radius):
+            found += _union(root, i, j)
+        return found
+
+    def pairs(self, radius: int, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) of all pairs within the radius whose components differ."""
+        _, root = np.unique(component[self.order], return_inverse=True)
+        for i, j in self._near(root, radius):
+            yield self.order[i], self.order[j]
+
+    def _near(self, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs within the radius and apart in ``root`` (as it is when they are reached), in steps, nearest first in each."""
+        top, n = len(self.levels) - 1, len(self.order)
         i, j = np.triu_indices(len(self.levels[top][0]), 0 if top else 1)
         stack = [(top, i, j)]
         while stack:
@@ -195,7 +209,7 @@ class GrayIndex:
                 continue
             if not level:
                 nearest = np.argsort(differ[near], kind="stable")
-                found += _union(root, i[nearest], j[nearest])
+                yield i[nearest], j[nearest]
                 continue
             below, step = len(self.levels[level - 1][0]), np.arange(FANOUT)
             a, b = np.broadcast_arrays((i[:, None] * FANOUT + step)[:, :, None], (j[:, None] * FANOUT + step)[:, None, :])
@@ -204,7 +218,6 @@ class GrayIndex:
             a, b = a[ok], b[ok]
             near_first = np.argsort(b - a, kind="stable")  # neighbours in Gray order most likely join, which prunes the rest
             stack.append((level - 1, a[near_first], b[near_first]))
-        return found
 
 
 def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -233,7 +246,7 @@ def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIU
         return
     table = pa.Table.from_batches(held)
     bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
-    fp = table["fp"].to_numpy().view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(table["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    fp = table["fp"].to_numpy().view(np.uint64).reshape(-1, 1) if words == 1 else _rows(table["fp"], words)
     del held, table
     order = np.lexsort((ids, bucket))
     bucket, ids, fp = bucket[order], ids[order], fp[order]
@@ -251,6 +264,33 @@ def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIU
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
+def _rows(fp: pa.ChunkedArray, words: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(fp.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, leaf: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (src, dst) of entry ids: all that share a bucket, lie within the radius and in different components, and whose sets' sizes allow the similarity."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    bucket, ids, component, size = (table[c].to_numpy() for c in ("bucket", "id", "component", "size"))
+    fp = _rows(table["fp"], WIDE)
+    del held, table
+    order = np.lexsort((ids, bucket))
+    starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+    for part in np.split(order, starts[1:]):
+        if len(part) < 2:
+            continue
+        for i, j in GrayIndex(fp[part], leaf).pairs(radius, component[part]):
+            a, b = part[i], part[j]
+            fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            low, high = np.minimum(ids[a], ids[b])[fits], np.maximum(ids[a], ids[b])[fits]
+            if len(low):
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["src", "dst"])
+
+
 def _chunks(rest: Column, parts: int, width: int, path: Column) -> Column:
     """(path extended by chunk number and value, the bits that remain) for each chunk of ``rest``."""
     ones = F.lit((1 << width) - 1).cast("long")
@@ -311,20 +351,22 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bit_samples(entries: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED) -> list[list[int]]:
+def bit_radius(share: float, bits: int = 64 * WIDE) -> int:
+    """The differing bits within which a link is proposed."""
+    return round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+
+
+def bit_samples(entries: int, share: float, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED) -> list[list[int]]:
     """Places of the bits that deal: so many bits that a bucket holds few unrelated entries (``SPARE``), so many samples that the recall is met."""
     width = max(12, math.ceil(math.log2(max(entries, 2))) - SPARE)
-    agree = (1 - bit_share(similarity)) ** width
+    agree = (1 - share) ** width
     draw = random.Random(seed)
     return [sorted(draw.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
 
 
-def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARITY) -> DataFrame:
-    """src, dst: unequal ids of ``entries`` (id, fp) whose bits differ no more than those of texts of the similarity do."""
-    samples = bit_samples(entries.count(), similarity)
-    share, bits = bit_share(similarity), 64 * WIDE
-    radius = round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
-    radii, leaf = tuple(round(radius * x) for x in STEPS), LEAF
+def _dealt(entries: DataFrame, samples: list[list[int]], parts: int) -> DataFrame:
+    """The rows of ``entries`` (id, fp and other numbers) once for each sample of bits, with the bucket they fall into."""
+    names = entries.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,16 +375,43 @@ def proposed_links(entries: DataFrame, parts: int, similarity: float = SIMILARIT
                 bit = np.unpackbits(np.frombuffer(b"".join(column(part, "fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
                 for k, places in enumerate(samples):
                     key = xx_rows(np.packbits(bit[:, places], axis=1), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), column(part, "fp")], ["bucket", "id", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(column(part, c) for c in names)], ["bucket", *names])
+
+    schema = ", ".join(f"{c} {'binary' if c == 'fp' else 'long'}" for c in ("bucket", *names))
+    return entries.mapInArrow(deal, schema).repartition(parts, "bucket")
+
+
+def proposed_links(entries: DataFrame, samples: list[list[int]], share: float, parts: int) -> DataFrame:
+    """src, dst: unequal ids of ``entries`` (id, fp) that differ in that share of their bits or little more; a spanning forest of each bucket."""
+    radii, leaf = tuple(round(bit_radius(share) * x) for x in STEPS), LEAF
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _spanning(batches, radii, WIDE, leaf)
 
-    dealt = entries.select("id", "fp").mapInArrow(deal, "bucket long, id long, fp binary").repartition(parts, "bucket")
-    found = dealt.mapInArrow(search, "src long, dst long")
+    found = _dealt(entries.select("id", "fp"), samples, parts).mapInArrow(search, "src long, dst long")
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def missed_links(entries: DataFrame, groups: DataFrame, samples: list[list[int]], share: float, parts: int, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: all pairs that ``proposed_links`` had in view and left out for others, of entries that ``groups`` (node, component) leaves apart."""
+    radius, leaf = bit_radius(share), LEAF
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _apart(batches, radius, similarity, leaf)
+
+    open_ = entries.join(groups, entries["id"] == groups["node"]).select("id", "fp", "size", "component")
+    return _dealt(open_, samples, parts).mapInArrow(search, "src long, dst long").distinct()
+
+
+def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component by ``links`` (verified) of the entries whose proposed group has several such components."""
+    loose = scratch.cut(connected_components(proposed, scratch=scratch)).withColumnRenamed("component", "group")
+    tight = scratch.cut(connected_components(links, scratch=scratch))
+    placed = scratch.cut(loose.join(tight, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
+    several = placed.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("group")
+    return scratch.cut(placed.join(several, "group", "left_semi").select("node", "component"))
+
+
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """id, grams (distinct shingle hashes) of each linked entry that has a doc_id, from the text of its least doc_id."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -385,8 +454,15 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
     marked = scratch.cut(wide_fingerprints(docs, shingle))
     # Equal fingerprints don't mean equal sets: one entry a set, so that links between equal fingerprints are verified like all others.
     entries = scratch.cut(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
-    proposed = scratch.cut(proposed_links(entries, _parts(docs), similarity))
-    links = verified_links(proposed, _sets(docs, entries, proposed, scratch, shingle), scratch, similarity)
+    share, parts = bit_share(similarity), _parts(docs)
+    samples = bit_samples(entries.count(), share)
+    proposed = scratch.cut(proposed_links(entries, samples, share, parts))
+    sets = _sets(docs, entries, proposed, scratch, shingle)
+    links = verified_links(proposed, sets, scratch, similarity)
+    # A proposed link that failed must not hide a true one: all pairs between components that verified links leave apart are verified too.
+    apart = _open_groups(proposed, links, scratch)
+    missed = scratch.cut(missed_links(entries, apart, samples, share, parts, similarity).join(proposed, ["src", "dst"], "left_anti"))
+    links = scratch.cut(links.unionByName(_alike(missed, sets, similarity)))
     return _components(marked, entries, links, scratch, "digest")
 
 

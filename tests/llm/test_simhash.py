@@ -135,3 +135,22 @@ def test_equal_fingerprints_are_verified(spark, scratch):
     assert (S.fingerprint(rows[0][1], 5, S.WIDE) == S.fingerprint(rows[1][1], 5, S.WIDE)).all()
     found = S.similar_groups(spark.createDataFrame([*rows, (3, rows[0][1] + " " + line)], "doc_id long, text string"), scratch)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_failed_links_hide_no_true_one(spark, scratch):
+    draw = np.random.default_rng(11)
+    rows = []
+    for family in range(4):  # texts of one template: most pairs lie within the radius, few have the similarity
+        base = [f"f{family}w{x}" for x in range(120)]
+        for k in range(60):
+            words = list(base)
+            for at in draw.choice(120, int(draw.integers(2, 4)), replace=False):
+                words[at] = f"x{draw.integers(0, 10**9)}"
+            rows.append((family * 60 + k, " ".join(words)))
+    found = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    sets = [set(S.shingle_set(t).tolist()) for _, t in rows]
+    true = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(true) > 20
+    assert all(found[a] == found[b] for a, b in true)
+    want = components(len(rows), true)
+    assert [found[k] for k in range(len(rows))] == want
