@@ -8,7 +8,7 @@ dealt by (chunk number, chunk value); a bucket of more than ``deal`` entries is
 that again by 9: each step is exact, as at most three bits differ.
 
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
-have 512 bits, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
+have 512 bits of their distinct shingles, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
 within the bits that such pairs differ in (``SPREAD`` standard deviations above their mean). Each proposed link is then held against the whole
 texts' shingle sets, and only links of the similarity stay. Within a bucket the nearest entries are proposed first, as a spanning forest; entries that a failed
 link leaves apart from the most linked entry of their proposed group are held against that entry too, and then all pairs of a bucket within the
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +82,27 @@ def _shingles(said: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray
         yield np.array([digest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(shingle)))], "<u8")
 
 
+def _majority(parts: Iterable[np.ndarray], words: int) -> np.ndarray:
+    """The bits that are set in over half of the hashes."""
+    counts, total = np.zeros((words, 64), np.int64), 0
+    for hashes in parts:
+        total += len(hashes)
+        for k in range(words):
+            counts[k] += _ones(_mixed(hashes, k))
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, words: int = 1, seed: int = SEED) -> np.ndarray:
     """The fingerprint's 64-bit words. Lower-cases A-Z and splits on ASCII white space, as bytes methods do."""
     said = text.encode().lower().split()
     if not said:
         return np.zeros(words, np.uint64)
-    shingle = min(shingle, len(said))
-    counts, total = np.zeros((words, 64), np.int64), len(said) - shingle + 1
-    for hashes in _shingles(said, shingle, seed):
-        for k in range(words):
-            counts[k] += _ones(_mixed(hashes, k))
-    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+    return _majority(_shingles(said, min(shingle, len(said)), seed), words)
+
+
+def set_fingerprint(grams: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """The fingerprint of a shingle set: each distinct shingle counts once, as in the similarity."""
+    return _majority((grams[at : at + _WORDS].view("<u8") for at in range(0, len(grams), _WORDS)), words)
 
 
 def shingle_set(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -124,9 +134,8 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            said = texts(batch, "text")
-            sets = [shingle_set(t, shingle) for t in said]
-            fp = [fingerprint(t, shingle, WIDE).astype(">u8").tobytes() for t in said]
+            sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
+            fp = [set_fingerprint(g).astype(">u8").tobytes() for g in sets]
             digest = [set_digest(g) for g in sets]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], ["doc_id", "fp", "digest", "size"])
 

@@ -154,3 +154,13 @@ def test_failed_links_hide_no_true_one(spark, scratch):
     assert all(found[a] == found[b] for a, b in true)
     want = components(len(rows), true)
     assert [found[k] for k in range(len(rows))] == want
+
+
+def test_repeats_hide_no_near_copy(spark, scratch):
+    draw = np.random.default_rng(17)
+    lines = [" ".join(f"w{x}" for x in draw.integers(0, 10**6, 12)) for _ in range(20)]
+    rows = [(1, " ".join(lines)), (2, " ".join(lines + [lines[3]] * 60)), (3, " ".join(lines + [lines[9]] * 60))]
+    sets = [set(S.shingle_set(t).tolist()) for _, t in rows]
+    assert min(len(sets[0] & s) / len(sets[0] | s) for s in sets) >= 0.8
+    found = S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 1}
