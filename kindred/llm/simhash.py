@@ -10,7 +10,8 @@ that again by 9: each step is exact, as at most three bits differ.
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
 have 512 bits of their distinct shingles, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
 within the bits that such pairs differ in (``SPREAD`` standard deviations above their mean). Each proposed link is then held against the whole
-texts' shingle sets, and only links of the similarity stay. Within a bucket the nearest entries are proposed first, as a spanning forest; entries that a failed
+texts' shingle sets, and only links of the similarity stay. Small sets differ in more bits, as ties are frequent: entries of up to ``SMALL`` shingles are
+searched once more, with samples and radius for the largest share of bits that two such sets may differ in. Within a bucket the nearest entries are proposed first, as a spanning forest; entries that a failed
 link leaves apart from the most linked entry of their proposed group are held against that entry too, and then all pairs of a bucket within the
 radius whose ends are still in different verified components are. So no failed link hides a true one, precision is exact, and recall a
 matter of chance, documented in the README; it is higher the more similar the texts.
@@ -47,6 +48,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 8
 #: Standard deviations above the mean of differing bits within which a link is proposed, and the shares of that radius that are searched in turn.
 SPREAD, STEPS = 2.5, (0.5, 0.75, 1.0)
+#: Distinct shingles up to which entries are searched once more, by the share of bits that small sets may differ in; beyond, it is the angle's to 0.003.
+SMALL = 32
 #: Bits fewer than it takes to number all entries by which they are dealt: a bucket holds some four unrelated entries.
 SPARE = 2
 #: Entries of a bucket beyond which it is dealt again; members of a node of the index.
@@ -360,6 +363,27 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def small_share(similarity: float = SIMILARITY, most: int = SMALL) -> float:
+    """The largest expected share of differing bits of two sets of at least that similarity and at most ``most`` members: ties make it larger than the angle's."""
+    worst = 0.0
+    for b in range(1, most + 1):
+        for a in range(math.ceil(similarity * b - 1e-9), b + 1):
+            c = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)  # the fewest shared members
+            if c <= a:
+                worst = max(worst, _differ(a, b, c))
+    return worst
+
+
+def _differ(a: int, b: int, c: int) -> float:
+    """How likely a bit differs between the majorities of ``a`` and ``b`` fair hashes of which they share ``c``."""
+
+    def over(own: int, x: int, total: int) -> float:
+        return sum(math.comb(own, u) for u in range(own + 1) if 2 * (x + u) > total) / 2**own
+
+    both = ((math.comb(c, x) / 2**c, over(a - c, x, a), over(b - c, x, b)) for x in range(c + 1))
+    return sum(p * (s * (1 - t) + t * (1 - s)) for p, s, t in both)
+
+
 def bit_radius(share: float, bits: int = 64 * WIDE) -> int:
     """The differing bits within which a link is proposed."""
     return round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
@@ -463,14 +487,16 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
     marked = scratch.cut(wide_fingerprints(docs, shingle))
     # Equal fingerprints don't mean equal sets: one entry a set, so that links between equal fingerprints are verified like all others.
     entries = scratch.cut(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
-    share, parts = bit_share(similarity), _parts(docs)
-    samples = bit_samples(entries.count(), share)
-    proposed = scratch.cut(proposed_links(entries, samples, share, parts))
+    parts, small = _parts(docs), entries.where(F.col("size") <= SMALL)
+    searches = [(part, bit_samples(part.count(), share), share) for part, share in ((entries, bit_share(similarity)), (small, small_share(similarity)))]
+    proposed = [proposed_links(*search, parts) for search in searches]
+    proposed = scratch.cut(proposed[0].unionByName(proposed[1]).distinct())
     sets = _sets(docs, entries, proposed, scratch, shingle)
     links = verified_links(proposed, sets, scratch, similarity)
     # A proposed link that failed must not hide a true one: all pairs between components that verified links leave apart are verified too.
     apart = _open_groups(proposed, links, scratch)
-    missed = scratch.cut(missed_links(entries, apart, samples, share, parts, similarity).join(proposed, ["src", "dst"], "left_anti"))
+    missed = [missed_links(part, apart, samples, share, parts, similarity) for part, samples, share in searches]
+    missed = scratch.cut(missed[0].unionByName(missed[1]).distinct().join(proposed, ["src", "dst"], "left_anti"))
     links = scratch.cut(links.unionByName(_alike(missed, sets, similarity)))
     return _components(marked, entries, links, scratch, "digest")
 

@@ -164,3 +164,15 @@ def test_repeats_hide_no_near_copy(spark, scratch):
     assert min(len(sets[0] & s) / len(sets[0] | s) for s in sets) >= 0.8
     found = S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_short_near_copies(spark, scratch):
+    draw = np.random.default_rng(23)
+    rows = []
+    for k in range(150):  # four of five shingles
+        words = [f"w{x}" for x in draw.integers(0, 10**6, 9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    assert abs(S.small_share() - 0.1875) < 1e-9
+    found = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert all(found[k] // 2 == k // 2 for k in found)
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(150)) >= 0.95 * 150
