@@ -11,6 +11,7 @@ empty table gives no rows; other columns are not read. Whole texts are read, and
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -37,10 +38,11 @@ DICTIONARY = "your example test sample dummy placeholder change changeme here in
 TESTS = "test tests spec mock fixture fixtures example examples sample doc docs demo".split()
 #: Characters before and after a candidate that are read; findings that are made to learn from; trees and their depth.
 NEAR, MADE, TREES, DEPTH, SEED = 48, 4_000, 40, 7, 5
-_RUN = re.compile(r"[A-Za-z0-9+/=_\-.]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_\-.]{14,}(?:={1,2}(?![A-Za-z0-9+/=_\-.]))?")  # '=' is padding at the end, else it parts name and value
 _ASSIGNED = re.compile(r"[:=]\s*[\"']?([^\s\"'<>,;]{6,})")
 _HEADER = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _KNOWN = {k: re.compile(v) for k, v in FORMATS.items()}
+_INSIDE = {k: re.compile(rf"(?<![A-Za-z0-9])(?:{v})(?![A-Za-z0-9])") for k, v in FORMATS.items()}
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -53,14 +55,23 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in _ASSIGNED.finditer(text):
             if set(_WORDS.findall(text[max(m.start() - 24, 0) : m.start()].lower().replace("_", " "))) & set(NAMES):
                 found.setdefault(m.start(1), (m.end(1), "assigned"))
+    for kind, p in _INSIDE.items():
+        for m in p.finditer(text):
+            found.setdefault(m.start(), (m.end(), kind))
+    starts = sorted(found)
     for m in _RUN.finditer(text):
-        run = m[0].strip(".-=") if m[0][-1] != "=" else m[0].lstrip(".-=")
-        start = m.start() + m[0].index(run) if run else m.start()
-        if len(run) < 16 or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or "@" in text[max(start - 1, 0) : start + len(run) + 1]:
-            continue
-        kind = next((k for k, p in _KNOWN.items() if p.fullmatch(run)), "run")
-        if start not in found:
-            found[start] = (start + len(run), kind)
+        at, pieces = m.start(), []  # what assigned values and known formats leave of the run
+        for start in starts[max(bisect.bisect_right(starts, at) - 1, 0) : bisect.bisect_left(starts, m.end())]:
+            if found[start][0] > at:
+                pieces.append((at, start))
+                at = found[start][0]
+        for at, end in [*pieces, (at, m.end())]:
+            piece = text[at:end]
+            run = piece.strip(".-=") if piece[-1:] != "=" else piece.lstrip(".-=")
+            start = at + piece.index(run) if run else at
+            if len(run) < 16 or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or "@" in text[max(start - 1, 0) : start + len(run) + 1]:
+                continue
+            found.setdefault(start, (start + len(run), "run"))
     out, upto = [], -1
     for start, (end, kind) in sorted(found.items()):
         if start >= upto:
