@@ -3,29 +3,29 @@
 Fingerprints: bits over word shingles; a bit is set if it is set in over half of the shingles' XXH64 (and of mixes of it beyond the first 64 bits).
 Equal fingerprints are one entry (in search by similarity: equal shingle sets, told by 128 bits). Linked entries, and with them their documents, form components.
 
-Exact search (``near_groups``): 64 bits, links at up to three differing bits. Two such entries agree in one of four 16-bit chunks, so entries are
-dealt by (chunk number, chunk value); a bucket of more than ``deal`` entries is dealt again by the 48 remaining bits in four chunks of 12, and
-that again by 9: each step is exact, as at most three bits differ.
+The index (``GrayIndex``): entries sorted by Gray rank, whose neighbours share most bits; sixteen neighbours form a leaf with the mask of the bits that all of
+them share and their pattern, sixteen nodes an upper node alike. Two nodes are compared in the bits that both mask: a node's mask holds its parent's, so differences
+accumulate on the way down, and pairs of whole groups are pruned beyond a limit. So are two nodes whose members are all in one component already, which keeps a
+large group of near copies from being compared pair by pair. Of a bucket's links a spanning forest leaves the task: no link between different components is lost.
+
+The index of all entries is too large for one task. Its uppermost nodes, patterns of a few bits, are buckets of some thousand entries, and each bucket's index is searched by itself.
+
+Exact search (``near_groups``): 64 bits, links at up to three differing bits. Two such entries agree in one of four 16-bit chunks, so there are four such indexes, each
+led by the bits of its chunk: uppermost nodes share the first bits of it (as many as leave ``BUCKET`` entries), and within the chunk no difference is tolerated, as another index finds
+those pairs. Buckets of more than ``deal`` entries are dealt by the whole chunk, then by quarters of the bits that remain, until they fit: each step is exact, as at most three bits differ.
 
 Search by similarity (``similar_groups``): texts of a given Jaccard similarity differ in a known share of bits, far more than three of 64. Here entries
-have 512 bits of their distinct shingles, are dealt by samples of bits, as many samples as find a pair of the least similarity with ``RECALL``, and proposed links are entries
-within the bits that such pairs differ in (``SPREAD`` standard deviations above their mean). Each proposed link is then held against the whole
-texts' shingle sets, and only links of the similarity stay. Small sets differ in more bits, as ties are frequent: entries of up to ``SMALL`` shingles are
-searched once more, with samples and radius for the largest share of bits that two such sets may differ in. Within a bucket the nearest entries are proposed first, as a spanning forest; entries that a failed
-link leaves apart from the most linked entry of their proposed group are held against that entry too, and then all pairs of a bucket within the
-radius whose ends are still in different verified components are. So no failed link hides a true one, precision is exact, and recall a
-matter of chance, documented in the README; it is higher the more similar the texts.
-
-Within a bucket the entries are sorted by Gray rank; neighbours share most bits. Sixteen neighbours form a leaf with the mask of the bits that
-all of them share and their pattern, sixteen nodes form an upper node in the same way, and two nodes are compared only if their patterns
-differ in no more commonly masked bits than the radius: a node's mask holds its parent's, so differences accumulate on the way down and whole
-groups are pruned. So are two nodes whose members are all in one component already, which keeps a large group of near copies from being
-compared pair by pair. Of a bucket's links only a spanning forest leaves the task: no link between different components is
-lost, and groups are not expanded into all pairs.
+have 512 bits of their distinct shingles, and an index has a sample of them: a few deal, 128 are indexed. A limit is the number of differences that all but ``PRUNED`` of the pairs of the least
+similarity stay within, for as many bits as two nodes mask; there are as many samples as find such a pair with ``RECALL`` in spite of that. What is within the radius is proposed, as a spanning forest, nearest
+first. Each proposed link is then held against the whole texts' shingle sets, and only links of the similarity stay. Small sets differ in more bits, as ties are frequent: entries of up to ``SMALL``
+shingles are searched once more, for the largest share of bits that two such sets may differ in. Entries that a failed link leaves apart from the most linked entry of their proposed group are held
+against that entry too, and then all pairs within the radius whose ends are still in different verified components are. So no failed link hides a true one, precision is exact, and
+recall a matter of chance, documented in the README; it is higher the more similar the texts. Buckets of more than ``deal`` entries are large groups of near copies: all are first held against the
+bucket's least entry; then blocks of the others meet blocks of all, and only pairs within that entry's verified component are left out (``_in_blocks``).
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give one shingle of all words;
 repeated rows get the same component; a null doc_id gets the least known doc_id of its component (null if none is known); an empty table gives no
-rows; other columns are not read. In search by similarity a row without a doc_id is linked by an equal shingle set only.
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,27 +37,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kindred.llm.arrow import column, slices, texts
 from kindred.operators.graph import connected_components
 from kindred.plans.scratch import Scratch
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Words of a shingle, least Jaccard similarity, recall of the dealing at that similarity, and 64-bit words of a fingerprint in search by similarity.
-WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.99, 8
-#: Standard deviations above the mean of differing bits within which a link is proposed, and the shares of that radius that are searched in turn.
-SPREAD, STEPS = 2.5, (0.5, 0.75, 1.0)
+#: Words of a shingle, least Jaccard similarity, recall of the search at that similarity, and 64-bit words of a fingerprint in search by similarity.
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.995, 8
+#: Shares of the radius that are searched in turn.
+STEPS = (0.5, 1.0)
 #: Distinct shingles up to which entries are searched once more, by the share of bits that small sets may differ in; beyond, it is the angle's to 0.003.
 SMALL = 32
-#: Bits fewer than it takes to number all entries by which they are dealt: a bucket holds some four unrelated entries.
-SPARE = 2
-#: Entries of a bucket beyond which it is dealt again; members of a node of the index.
-DEAL, FANOUT = 20_000, 16
-#: Entries whose pairs are compared outright in search by similarity, where few pairs of nodes can be pruned.
-LEAF = 128
-#: Words whose shingles are hashed at once; pairs of nodes that are compared at once.
-_WORDS, _PAIRS = 1 << 16, 1 << 13
+#: Bits of a sample that are indexed, share of the least similar pairs that a node's limit and the radius lose, and levels of nodes of the largest bucket.
+SKETCH, PRUNED, OUTSIDE, LEVELS = 128, 0.05, 0.001, 4
+#: Unrelated entries of a bucket in exact search and in search by similarity; entries beyond which a bucket is divided; members of a node of the index.
+BUCKET, TARGET, DEAL, FANOUT = 2048, 8192, 1 << 16, 16
+#: Words whose shingles are hashed at once; pairs of nodes and of leaves that are compared at once; rows of a task.
+_WORDS, _PAIRS, _LEAVES, TASK_ROWS = 1 << 16, 1 << 13, 1 << 10, 1 << 18
 
 
 def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -133,16 +131,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, fp, digest, size: the wide fingerprint as bytes, and the digest and size of the shingle set, which alone tell equal sets."""
+    """doc_id, fp, digest, size: the wide fingerprint, and the digest and size of the shingle set, which alone tell equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
-            fp = [set_fingerprint(g).astype(">u8").tobytes() for g in sets]
+            fp = [set_fingerprint(g).view(np.int64) for g in sets]
             digest = [set_digest(g) for g in sets]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], ["doc_id", "fp", "digest", "size"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp, pa.list_(pa.int64())), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], ["doc_id", "fp", "digest", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary, digest binary, size long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, digest binary, size long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -153,84 +151,114 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-class GrayIndex:
-    """Levels of (mask, pattern) over distinct fingerprints (rows of 64-bit words) in Gray order; level 0 is the fingerprints, with full masks."""
+def _cumulative(n: int, share: float) -> Iterator[float]:
+    """P(X <= 0), P(X <= 1), .. of a binomial X."""
+    total = 0.0
+    for t in range(n + 1):
+        total += math.comb(n, t) * share**t * (1 - share) ** (n - t)
+        yield total
+
+
+def tolerated(bits: int, share: float, miss: float) -> int:
+    """The differing bits that all but ``miss`` of the pairs stay within, which differ in that share of their bits."""
+    return next((t for t, p in enumerate(_cumulative(bits, share)) if p >= 1 - miss), bits)
+
 
-    def __init__(self, fp: np.ndarray, leaf: int = FANOUT):
-        self.order = np.lexsort([gray_rank(fp[:, k]) for k in range(fp.shape[1] - 1, -1, -1)])
-        self.levels = [(np.full(fp.shape, ~np.uint64(0)), fp[self.order])]
-        while len(self.levels[-1][0]) > leaf:
-            mask, pattern = self.levels[-1]
+class GrayIndex:
+    """A hierarchy over distinct fingerprints (rows of 64-bit words) in Gray order.
+
+    ``FANOUT`` neighbours form a leaf with the mask of the bits that all of them share and their pattern; ``FANOUT`` nodes form an upper node alike.
+    ``limits`` has, for each number of commonly masked bits, the differences among them that two nodes may have. Bits of ``lead`` come first in the
+    order, and nodes that differ in one of them are pruned as well. ``met`` and ``pruned`` count the pairs of nodes looked at and those pruned by differences.
+    """
+
+    def __init__(self, fp: np.ndarray, limits: np.ndarray, lead: int = 0):
+        ranks = [gray_rank(fp[:, k]) for k in range(fp.shape[1] - 1, -1, -1)]
+        self.lead = np.uint64(lead)
+        self.order = np.lexsort([*ranks, gray_rank(fp[:, 0] & self.lead)] if lead else ranks)
+        self.limits, self.met, self.pruned = limits, 0, 0
+        ones, mask = fp[self.order], np.full(fp.shape, ~np.uint64(0))
+        padded = np.concatenate([ones, np.repeat(ones[-1:], -len(ones) % FANOUT, axis=0)])
+        self.words = [np.ascontiguousarray(padded[:, k]).reshape(-1, FANOUT) for k in range(fp.shape[1])]
+        self.levels = []
+        while not self.levels or len(mask) > FANOUT:
             starts = np.arange(0, len(mask), FANOUT)
-            ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
-            self.levels.append((ones | zeros, ones))
-
-    def links(self, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (i, j) of a spanning forest of the links within the last radius; each is such a link, and links within a lesser radius come first."""
-        root, found = np.arange(len(self.order)), []  # by place in Gray order
-        for radius in radii if len(self.levels) > 1 else radii[-1:]:  # without upper nodes all pairs are at hand, and sorted
-            found += self._search(root, radius)
-        i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        return self.order[i], self.order[j]
+            ones, zeros = np.bitwise_and.reduceat(ones & mask, starts), np.bitwise_and.reduceat(~ones & mask, starts)
+            mask = ones | zeros
+            self.levels.append((mask, ones))
 
-    def stars(self, radius: int) -> np.ndarray:
-        """For each fingerprint the place of its component's first one, by links within the radius."""
-        n = len(self.order)
-        root = np.arange(n)
-        self._search(root, radius)
-        out, first = np.empty(n, np.int64), np.full(n, n, np.int64)
-        np.minimum.at(first, root, self.order)
-        out[self.order] = first[root]
-        return out
-
-    def _search(self, root: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Joins the components in ``root`` by links within the radius; the links used."""
+    def links(self, radii: tuple[int, ...], component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, j) of a spanning forest of the links within the last radius between ``component``s; each is such a link, and those within a lesser radius come first."""
+        root = np.arange(len(self.order)) if component is None else self._least(component)
         found = []
-        for i, j in self._near(root, radius):
-            found += _union(root, i, j)
-        return found
+        for radius in radii:
+            for i, j in self._near(root, radius):
+                found += _union(root, i, j)
+        i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+        return self.order[i], self.order[j]
 
     def pairs(self, radius: int, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows (i, j) of all pairs within the radius whose components differ."""
-        _, root = np.unique(component[self.order], return_inverse=True)
-        for i, j in self._near(root, radius):
+        for i, j in self._near(self._least(component), radius):
             yield self.order[i], self.order[j]
 
+    def _least(self, component: np.ndarray) -> np.ndarray:
+        """For each place the first place of its component."""
+        _, first, group = np.unique(component[self.order], return_index=True, return_inverse=True)
+        return first[group]
+
     def _near(self, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of pairs within the radius and apart in ``root`` (as it is when they are reached), in steps, nearest first in each."""
-        top, n = len(self.levels) - 1, len(self.order)
-        i, j = np.triu_indices(len(self.levels[top][0]), 0 if top else 1)
-        stack = [(top, i, j)]
+        limits, top, n = np.minimum(self.limits, radius), len(self.levels) - 1, len(self.order)
+        stack = [(top, *np.triu_indices(len(self.levels[top][0])))]
         while stack:
             level, i, j = stack.pop()
             if len(i) > _PAIRS:  # bounds the memory of one step, whatever the bucket
                 stack += [(level, i[k : k + _PAIRS], j[k : k + _PAIRS]) for k in range(0, len(i), _PAIRS)][::-1]
                 continue
-            if level:
-                starts = np.arange(0, n, FANOUT**level)
-                low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
-                apart = (low[i] != high[j]) | (high[i] != low[j])
-            else:
-                apart = root[i] != root[j]
+            starts = np.arange(0, n, FANOUT ** (level + 1))
+            low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+            apart = (low[i] != high[j]) | (high[i] != low[j])
             i, j = i[apart], j[apart]
             mask, pattern = self.levels[level]
-            differ = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]).sum(1, dtype=np.int64)
-            near = differ <= radius
+            shared = mask[i] & mask[j]
+            differ = (pattern[i] ^ pattern[j]) & shared
+            near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= limits[np.bitwise_count(shared).sum(1, dtype=np.int64)]
+            if self.lead:
+                near &= differ[:, 0] & self.lead == 0
+            self.met += len(i)
+            self.pruned += len(i) - int(near.sum())
             i, j = i[near], j[near]
             if not len(i):
                 continue
             if not level:
-                nearest = np.argsort(differ[near], kind="stable")
-                yield i[nearest], j[nearest]
+                for k in range(0, len(i), _LEAVES):
+                    yield from self._within(root, i[k : k + _LEAVES], j[k : k + _LEAVES], radius)
                 continue
             below, step = len(self.levels[level - 1][0]), np.arange(FANOUT)
             a, b = np.broadcast_arrays((i[:, None] * FANOUT + step)[:, :, None], (j[:, None] * FANOUT + step)[:, None, :])
             a, b = a.ravel(), b.ravel()
-            ok = (a < below) & (b < below) & ((a <= b) if level > 1 else (a < b))
+            ok = (b < below) & (a <= b)
             a, b = a[ok], b[ok]
             near_first = np.argsort(b - a, kind="stable")  # neighbours in Gray order most likely join, which prunes the rest
             stack.append((level - 1, a[near_first], b[near_first]))
 
+    def _within(self, root: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of members of leaves i and j."""
+        differ = np.zeros((len(i), FANOUT, FANOUT), np.uint8 if len(self.words) < 4 else np.uint16)
+        for word in self.words:
+            differ += np.bitwise_count(word[i][:, :, None] ^ word[j][:, None, :])
+        at = np.flatnonzero(differ.ravel() <= radius)
+        pair, member = np.divmod(at, FANOUT * FANOUT)
+        a, b = i[pair] * FANOUT + member // FANOUT, j[pair] * FANOUT + member % FANOUT
+        ok = (a < b) & (b < len(root))
+        a, b, at = a[ok], b[ok], at[ok]
+        apart = root[a] != root[b]
+        if apart.any():
+            a, b = a[apart], b[apart]
+            nearest = np.argsort(differ.ravel()[at[apart]], kind="stable")
+            yield a[nearest], b[nearest]
+
 
 def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Join the components of each pair, earlier pairs first; every member then points at its component's least place. The pairs that joined."""
@@ -251,88 +279,105 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndar
             root[:] = up
 
 
-def _spanning(batches: Iterator[pa.RecordBatch], radii: tuple[int, ...] = (RADIUS,), words: int = 1, leaf: int = FANOUT) -> Iterator[pa.RecordBatch]:
-    """Edges (src, dst) between entry ids: a spanning forest of the links of each bucket in a partition."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
-    fp = table["fp"].to_numpy().view(np.uint64).reshape(-1, 1) if words == 1 else _rows(table["fp"], words)
-    del held, table
-    order = np.lexsort((ids, bucket))
-    bucket, ids, fp = bucket[order], ids[order], fp[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    sizes = np.diff(np.r_[starts, len(bucket)])
-    two = starts[sizes == 2]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radii[-1]]
-    src, dst = [ids[near]], [ids[near + 1]]
-    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        i, j = GrayIndex(fp[s : s + n], leaf).links(radii)
-        src.append(ids[s + i])
-        dst.append(ids[s + j])
-    src, dst = np.concatenate(src), np.concatenate(dst)
-    if len(src):
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-
-def _rows(fp: pa.ChunkedArray, words: int) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words."""
-    return np.frombuffer(b"".join(fp.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
-
-
-def _apart(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, leaf: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (src, dst) of entry ids: all that share a bucket, lie within the radius and in different components, and whose sets' sizes allow the similarity."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    bucket, ids, component, size = (table[c].to_numpy() for c in ("bucket", "id", "component", "size"))
-    fp = _rows(table["fp"], WIDE)
-    del held, table
-    order = np.lexsort((ids, bucket))
-    starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-    for part in np.split(order, starts[1:]):
-        if len(part) < 2:
+def _per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one bucket after the other, from rows sorted by bucket; no more than a bucket and a batch is held."""
+
+    def groups(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        ends = np.flatnonzero(np.r_[rows["bucket"][1:] != rows["bucket"][:-1], True]) + 1
+        for start, end in zip(np.r_[0, ends[:-1]], ends):
+            if end - start > 1:
+                yield {k: v[start:end] for k, v in rows.items()}
+
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        for i, j in GrayIndex(fp[part], leaf).pairs(radius, component[part]):
-            a, b = part[i], part[j]
-            fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-            low, high = np.minimum(ids[a], ids[b])[fits], np.maximum(ids[a], ids[b])[fits]
-            if len(low):
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["src", "dst"])
+        rows = {name: column(batch, name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        held = {k: np.concatenate([held[k], v]) for k, v in rows.items()} if held else rows
+        whole = int(np.searchsorted(held["bucket"], held["bucket"][-1]))
+        if whole:
+            yield from groups({k: v[:whole] for k, v in held.items()})
+            held = {k: v[whole:] for k, v in held.items()}
+    if held:
+        yield from groups(held)
+
+
+def _links(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Edges (src < dst) in batches."""
+    src, dst, n = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        a, b = np.concatenate(src), np.concatenate(dst)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+
+    for a, b in found:
+        src.append(a)
+        dst.append(b)
+        n += len(a)
+        if n >= _PAIRS:
+            yield out()
+            src, dst, n = [], [], 0
+    if n:
+        yield out()
+
+
+def _searched(dealt: DataFrame, rows: int, search) -> DataFrame:
+    """src, dst of a search over each bucket of ``dealt``; the number of tasks follows the rows."""
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS, 1)
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "src long, dst long")
 
 
-def _chunks(rest: Column, parts: int, width: int, path: Column) -> Column:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links at up to ``RADIUS`` bits of each bucket (bucket, id: the fingerprint, lead)."""
+    limits = np.full(65, RADIUS)
+
+    def each(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids = rows["id"]
+        i, j = GrayIndex(ids.view(np.uint64).reshape(-1, 1), limits, int(rows["lead"].view(np.uint64)[0])).links((RADIUS,))
+        return ids[i], ids[j]
+
+    return _links(each(rows) for rows in _per_bucket(batches))
+
+
+def _chunks(rest: Column, sizes: list[int], path: Column) -> Column:
     """(path extended by chunk number and value, the bits that remain) for each chunk of ``rest``."""
-    ones = F.lit((1 << width) - 1).cast("long")
-    out = []
-    for k in range(parts):
-        low = rest.bitwiseAND(F.lit((1 << (k * width)) - 1).cast("long"))
-        high = F.shiftrightunsigned(rest, (k + 1) * width) if (k + 1) * width < 64 else F.lit(0).cast("long")
-        value = F.shiftrightunsigned(rest, k * width).bitwiseAND(ones)
-        out.append(F.struct(F.xxhash64(path, F.lit(k), value).alias("bucket"), F.shiftleft(high, k * width).bitwiseOR(low).alias("rest")))
+    out, at = [], 0
+    for k, size in enumerate(sizes):
+        low = rest.bitwiseAND(F.lit((1 << at) - 1).cast("long"))
+        high = F.shiftrightunsigned(rest, at + size) if at + size < 64 else F.lit(0).cast("long")
+        value = F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        out.append(F.struct(F.xxhash64(path, F.lit(k), value).alias("bucket"), F.shiftleft(high, at).bitwiseOR(low).alias("rest")))
+        at += size
     return F.explode(F.array(*out))
 
 
-def _buckets(entries: DataFrame, deal: int) -> DataFrame:
-    """bucket, fp. Two unequal paths may share a bucket number; that only makes a bucket larger."""
-    dealt = entries.select("fp", _chunks(F.col("fp"), 4, 16, F.lit(0)).alias("x")).select("fp", "x.*")
-    out = None
-    for width in (12, 9, None):
-        if width is None:
-            final = dealt
+def _buckets(entries: DataFrame, deal: int, target: int = BUCKET) -> DataFrame:
+    """bucket, id, lead (bits that count only where they agree). Two unequal paths may share a bucket number; that only makes a bucket larger."""
+    width = min(16, max(0, math.ceil(math.log2(max(entries.count(), 1) / target))))
+
+    def first(k: int, bits: int) -> Column:
+        value = F.shiftrightunsigned("id", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        return F.xxhash64(F.lit(k), F.shiftrightunsigned(value, 16 - bits))
+
+    leads = [(0xFFFF << 16 * k) - (1 << 64 if k == 3 else 0) for k in range(4)]
+    dealt = entries.select("id", F.explode(F.array(*(F.struct(first(k, width).alias("bucket"), F.lit(k).alias("k"), F.lit(leads[k]).cast("long").alias("lead")) for k in range(4)))).alias("x")).select("id", "x.*")
+    out, bits = None, 64
+    while True:
+        # At most 4 x entries / deal buckets are that large, and few are; a table of known size, sent to the tasks only if it is small.
+        large = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > deal).select("bucket")
+        done = dealt.join(large, "bucket", "left_anti").select("bucket", "id", "lead")
+        out = done if out is None else out.unionByName(done)
+        again = dealt.join(large, "bucket", "left_semi")
+        if 1 << bits <= deal or again.isEmpty():  # distinct fingerprints that differ in so few bits fit
+            return out if 1 << bits > deal else out.unionByName(again.select("bucket", "id", "lead"))
+        if bits == 64:  # by the whole chunk; whatever agrees on it comes along
+            low = F.col("k") * 16
+            value = F.expr("shiftrightunsigned(id, k * 16) & 65535L")
+            rest = F.expr("CASE WHEN k = 3 THEN 0L ELSE shiftleft(shiftrightunsigned(id, k * 16 + 16), k * 16) END | (id & (shiftleft(1L, k * 16) - 1))")
+            dealt, bits = again.select("id", F.xxhash64(F.lit(-1), "k", value).alias("bucket"), F.lit(0).cast("long").alias("lead"), rest.alias("rest"), low.alias("k")), 48
         else:
-            # At most 4 x entries / deal buckets are that large: the bound of what is broadcast.
-            large = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > deal).select("bucket")
-            final = dealt.join(F.broadcast(large), "bucket", "left_anti")
-        out = final.select("bucket", "fp") if out is None else out.unionByName(final.select("bucket", "fp"))
-        if width:
-            again = dealt.join(F.broadcast(large), "bucket", "left_semi")
-            if again.isEmpty():
-                return out
-            dealt = again.select("fp", _chunks(F.col("rest"), 4, width, F.col("bucket")).alias("x")).select("fp", "x.*")
-    return out
+            sizes = [bits // 4 + (k < bits % 4) for k in range(4)]
+            dealt, bits = again.select("id", "lead", "k", _chunks(F.col("rest"), sizes, F.col("bucket")).alias("x")).select("id", "lead", "k", "x.*"), bits - min(sizes)
 
 
 def _components(marked: DataFrame, entries: DataFrame, edges: DataFrame, scratch: Scratch, key: str = "fp") -> DataFrame:
@@ -342,20 +387,16 @@ def _components(marked: DataFrame, entries: DataFrame, edges: DataFrame, scratch
     # Both sides of the joins are plain exchanges of tables, so that adaptive execution may split a key that a third of all rows share.
     found = scratch.cut(lone)
     least = scratch.cut(found.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = scratch.cut(found.join(least, "component").select(key, "component_id"))
-    return marked.join(named, key).select("doc_id", "fp", "component_id")
+    named = scratch.cut(found.join(least, "component").select(key, "component", "component_id"))
+    return marked.join(named, key).select(*marked.columns, "component", "component_id")
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, deal: int = DEAL) -> DataFrame:
     """doc_id, fp, component_id for every row: links at up to three bits of 64, all of them."""
     marked = scratch.cut(fingerprints(docs, shingle))
     entries = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
-    dealt = _buckets(entries.select("fp"), deal).withColumn("id", F.col("fp"))
-    return _components(marked, entries, dealt.repartition(_parts(docs), "bucket").mapInArrow(_spanning, "src long, dst long"), scratch)
-
-
-def _parts(docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    links = _searched(_buckets(entries.select("id"), deal), 4 * entries.count(), _exact)
+    return _components(marked, entries, links, scratch).select("doc_id", "fp", "component_id")
 
 
 def bit_share(similarity: float) -> float:
@@ -384,56 +425,92 @@ def _differ(a: int, b: int, c: int) -> float:
     return sum(p * (s * (1 - t) + t * (1 - s)) for p, s, t in both)
 
 
-def bit_radius(share: float, bits: int = 64 * WIDE) -> int:
-    """The differing bits within which a link is proposed."""
-    return round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+class Search:
+    """A search of ``entries`` (id, fp and more) for pairs that differ in at most that share of their bits: samples of bits that deal and that are compared.
 
+    A sample's first ``width`` bits deal, so that a bucket holds some ``target`` unrelated entries; ``SKETCH`` further bits are what its buckets are indexed by.
+    There are so many samples that a pair of exactly the share is met with ``RECALL``: agreeing on the dealing bits, within the limits of
+    ``LEVELS`` levels of nodes, and within the radius.
+    """
 
-def bit_samples(entries: int, share: float, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED) -> list[list[int]]:
-    """Places of the bits that deal: so many bits that a bucket holds few unrelated entries (``SPARE``), so many samples that the recall is met."""
-    width = max(12, math.ceil(math.log2(max(entries, 2))) - SPARE)
-    agree = (1 - share) ** width
-    draw = random.Random(seed)
-    return [sorted(draw.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+    def __init__(self, entries: DataFrame, share: float, target: int = TARGET, recall: float = RECALL, bits: int = 64 * WIDE, seed: int = SEED):
+        self.entries, self.share, self.count = entries, share, entries.count()
+        self.width = max(0, math.ceil(math.log2(max(self.count, 1) / target)))
+        self.radius = tolerated(SKETCH, share, OUTSIDE)
+        self.radii = tuple(round(self.radius * x) for x in STEPS)
+        self.limits = np.array([tolerated(m, share, PRUNED) for m in range(SKETCH + 1)])
+        met = (1 - share) ** self.width * (1 - LEVELS * PRUNED) * (1 - OUTSIDE)
+        draw = random.Random(seed)
+        self.samples = [draw.sample(range(bits), self.width + SKETCH) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - met)))]
 
+    def dealt(self, entries: DataFrame) -> DataFrame:
+        """bucket, id, s0, s1 and the other numbers of ``entries`` (id, fp, ..), once for each sample."""
+        samples, width = self.samples, self.width
+        others = [c for c in entries.columns if c not in ("id", "fp")]
+        names = ["bucket", "id", *(f"s{k}" for k in range(SKETCH // 64)), *others]
 
-def _dealt(entries: DataFrame, samples: list[list[int]], parts: int) -> DataFrame:
-    """The rows of ``entries`` (id, fp and other numbers) once for each sample of bits, with the bucket they fall into."""
-    names = entries.columns
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    words = column(part, "fp").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    bit = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                    for k, places in enumerate(samples):
+                        key = xx_rows(np.packbits(bit[:, places[:width]], axis=1), k)
+                        sketch = np.ascontiguousarray(np.packbits(bit[:, places[width:]], axis=1)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T), *(column(part, c) for c in others)], names)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                bit = np.unpackbits(np.frombuffer(b"".join(column(part, "fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-                for k, places in enumerate(samples):
-                    key = xx_rows(np.packbits(bit[:, places], axis=1), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *(column(part, c) for c in names)], ["bucket", *names])
+        return entries.mapInArrow(deal, ", ".join(f"{c} long" for c in names))
 
-    schema = ", ".join(f"{c} {'binary' if c == 'fp' else 'long'}" for c in ("bucket", *names))
-    return entries.mapInArrow(deal, schema).repartition(parts, "bucket")
+    def forest(self, dealt: DataFrame) -> DataFrame:
+        """src, dst: a spanning forest of each bucket's pairs within the radius, nearest first, between the components of ``dealt`` if it has them."""
+        radii, limits = self.radii, self.limits
 
+        def each(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            i, j = GrayIndex(_sketch(rows), limits).links(radii, rows.get("component"))
+            return rows["id"][i], rows["id"][j]
 
-def proposed_links(entries: DataFrame, samples: list[list[int]], share: float, parts: int) -> DataFrame:
-    """src, dst: unequal ids of ``entries`` (id, fp) that differ in that share of their bits or little more; a spanning forest of each bucket."""
-    radii, leaf = tuple(round(bit_radius(share) * x) for x in STEPS), LEAF
+        return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(r) for r in _per_bucket(batches))).distinct()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _spanning(batches, radii, WIDE, leaf)
+    def apart(self, dealt: DataFrame, similarity: float) -> DataFrame:
+        """src, dst: all of each bucket's pairs within the radius whose components differ and whose sets' sizes allow the similarity."""
+        radius, limits = self.radius, self.limits
 
-    found = _dealt(entries.select("id", "fp"), samples, parts).mapInArrow(search, "src long, dst long")
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for rows in _per_bucket(batches):
+                ids, size = rows["id"], rows["size"]
+                for i, j in GrayIndex(_sketch(rows), limits).pairs(radius, rows["component"]):
+                    fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+                    yield ids[i[fits]], ids[j[fits]]
 
+        return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(batches))).distinct()
 
-def missed_links(entries: DataFrame, groups: DataFrame, samples: list[list[int]], share: float, parts: int, similarity: float = SIMILARITY) -> DataFrame:
-    """src, dst: all pairs that ``proposed_links`` had in view and left out for others, of entries that ``groups`` (node, component) leaves apart."""
-    radius, leaf = bit_radius(share), LEAF
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _apart(batches, radius, similarity, leaf)
+def _sketch(rows: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([rows[f"s{k}"].view(np.uint64) for k in range(SKETCH // 64)], axis=1)
 
-    open_ = entries.join(groups, entries["id"] == groups["node"]).select("id", "fp", "size", "component")
-    return _dealt(open_, samples, parts).mapInArrow(search, "src long, dst long").distinct()
+
+def _large(dealt: DataFrame, scratch: Scratch, deal: int) -> DataFrame:
+    """bucket, hub (its least id) of the buckets of more than ``deal`` entries."""
+    return scratch.cut(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("hub")).where(F.col("_n") > deal).select("bucket", "hub"))
+
+
+def _in_blocks(dealt: DataFrame, large: DataFrame, scratch: Scratch, deal: int) -> DataFrame:
+    """``dealt`` (with component), its ``large`` buckets cut into pairs of blocks, each a bucket of at most some ``deal`` entries.
+
+    Entries of the hub's component, which are joined already, meet only the others of the bucket; those meet all. Nothing is left out but pairs within that
+    component, so a large group of copies costs its size times the blocks of what is no part of it.
+    """
+    home = dealt.join(large, "bucket").where("id = hub").select("bucket", F.col("component").alias("_home"))
+    hot = dealt.join(home, "bucket").withColumn("_own", F.col("component") == F.col("_home")).drop("_home")
+    half = F.lit(max(deal // 2, 1))
+    blocks = hot.groupBy("bucket").agg(F.ceil(F.count_if("_own") / half).cast("long").alias("_h"), F.ceil(F.count_if(~F.col("_own")) / half).cast("long").alias("_o"))
+    hot = hot.join(scratch.cut(blocks), "bucket")
+    at = F.when(F.col("_own"), F.col("_o") + F.pmod(F.xxhash64("id"), "_h")).otherwise(F.pmod(F.xxhash64("id"), "_o"))
+    other = F.when(F.col("_own"), F.col("_o")).otherwise(F.col("_o") + F.col("_h"))
+    met = F.explode(F.when(other > 0, F.sequence(F.lit(0).cast("long"), other - 1)).otherwise(F.array().cast("array<long>")))
+    hot = hot.withColumn("_at", at).withColumn("_met", met).withColumn("bucket", F.xxhash64("bucket", F.least("_at", "_met"), F.greatest("_at", "_met")))
+    return dealt.join(large, "bucket", "left_anti").unionByName(hot.select(*dealt.columns))
 
 
 def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -446,7 +523,7 @@ def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
 
 
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """id, grams (distinct shingle hashes) of each linked entry that has a doc_id, from the text of its least doc_id."""
+    """id, grams (distinct shingle hashes) of each linked entry, from a text of its least doc_id (of those without one, if it has no other)."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("digest").alias("_digest")))
     wanted = scratch.cut(linked.select("least").distinct())  # a table of known size: sent to the tasks only if it is small
@@ -454,11 +531,11 @@ def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "digest", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "grams"])
 
-    few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("least"), "left_semi")
-    told = few.mapInArrow(run, "doc_id long, digest binary, grams array<long>")
-    own = told.join(linked, (F.col("doc_id") == F.col("least")) & (F.col("digest") == F.col("_digest")))
+    few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    told = few.mapInArrow(run, "digest binary, grams array<long>")
+    own = told.join(linked, F.col("digest") == F.col("_digest"))
     return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
 
 
@@ -482,23 +559,46 @@ def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, simil
     return scratch.cut(sure.unionByName(_alike(more, sets, similarity)))
 
 
-def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, fp (bytes), component_id for every row: links between texts of the similarity, proposed by 512 bits and verified on whole texts."""
+def _within(pairs: DataFrame, entries: DataFrame, share: float) -> DataFrame:
+    """The pairs (src, dst) whose whole fingerprints differ in that share of their bits or little more."""
+    bits = 64 * WIDE
+    both = pairs.join(entries.select(F.col("id").alias("src"), F.col("fp").alias("_a")), "src").join(entries.select(F.col("id").alias("dst"), F.col("fp").alias("_b")), "dst")
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    return both.where(differ <= tolerated(bits, share, OUTSIDE)).select("src", "dst")
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, deal: int = DEAL, target: int = TARGET) -> DataFrame:
+    """doc_id, fp, digest, component_id for every row: links between texts of the similarity, proposed by 512 bits and verified on whole texts."""
     marked = scratch.cut(wide_fingerprints(docs, shingle))
     # Equal fingerprints don't mean equal sets: one entry a set, so that links between equal fingerprints are verified like all others.
     entries = scratch.cut(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
-    parts, small = _parts(docs), entries.where(F.col("size") <= SMALL)
-    searches = [(part, bit_samples(part.count(), share), share) for part, share in ((entries, bit_share(similarity)), (small, small_share(similarity)))]
-    proposed = [proposed_links(*search, parts) for search in searches]
-    proposed = scratch.cut(proposed[0].unionByName(proposed[1]).distinct())
+    searches = [Search(entries, bit_share(similarity), target), Search(entries.where(F.col("size") <= SMALL), small_share(similarity), target)]
+    dealt = [scratch.cut(s.dealt(s.entries.select("id", "fp"))) for s in searches]
+    large = [_large(d, scratch, deal) for d in dealt]
+    hubs = [d.join(w, "bucket").where("id <> hub").select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")) for d, w in zip(dealt, large)]
+    hubs = scratch.cut(hubs[0].unionByName(hubs[1]).distinct())
+    known = None
+    if not hubs.isEmpty():  # a large bucket is a large group: who is like its hub is joined first, and need not meet the others in it
+        known = scratch.cut(_alike(hubs, _sets(docs, entries, hubs, scratch, shingle), similarity))
+        joined = scratch.cut(connected_components(known, scratch=scratch))
+        placed = [d.join(joined, d["id"] == joined["node"], "left").drop("node").withColumn("component", F.coalesce("component", "id")) for d in dealt]
+        dealt = [_in_blocks(d, w, scratch, deal) for d, w in zip(placed, large)]
+    proposed = [s.forest(d) for s, d in zip(searches, dealt)]
+    proposed = proposed[0].unionByName(proposed[1])
+    proposed = scratch.cut((proposed if known is None else proposed.unionByName(known)).distinct())
     sets = _sets(docs, entries, proposed, scratch, shingle)
     links = verified_links(proposed, sets, scratch, similarity)
     # A proposed link that failed must not hide a true one: all pairs between components that verified links leave apart are verified too.
-    apart = _open_groups(proposed, links, scratch)
-    missed = [missed_links(part, apart, samples, share, parts, similarity) for part, samples, share in searches]
-    missed = scratch.cut(missed[0].unionByName(missed[1]).distinct().join(proposed, ["src", "dst"], "left_anti"))
-    links = scratch.cut(links.unionByName(_alike(missed, sets, similarity)))
-    return _components(marked, entries, links, scratch, "digest")
+    open_ = _open_groups(proposed, links, scratch)
+    missed = []
+    for s in searches:
+        rows = s.entries.join(open_, F.col("id") == F.col("node")).select("id", "fp", "size", "component")
+        again = scratch.cut(s.dealt(rows))
+        wide = _large(again, scratch, deal)
+        pairs = s.apart(again if wide.isEmpty() else _in_blocks(again, wide, scratch, deal), similarity)
+        missed.append(_within(scratch.cut(pairs.join(proposed, ["src", "dst"], "left_anti")), entries, s.share))
+    more = scratch.cut(_alike(missed[0].unionByName(missed[1]).distinct(), sets, similarity))
+    return _components(marked, entries, links.unionByName(more), scratch, "digest")
 
 
 def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:
@@ -512,10 +612,29 @@ def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:
 
 
 def drop_near_copies(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least doc_id (rows without a doc_id stay)."""
-    groups = similar_groups(docs, scratch, shingle, similarity)
-    goes = scratch.cut(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct())
-    return docs.join(goes, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    """The rows of ``docs`` that stay: of each component the document (doc_id and shingle set) with the least doc_id, null last. Repeated rows of it stay with it."""
+    groups = scratch.cut(similar_groups(docs, scratch, shingle, similarity).select("doc_id", "digest", "component").distinct())
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    least = scratch.cut(groups.groupBy("component").agg(F.min(rank).alias("_least")))
+    told = scratch.cut(groups.join(least, "component").select("doc_id", "digest", (rank != F.col("_least")).alias("_goes")))
+    # Where all texts of a doc_id go, the doc_id tells its rows; where only some go (or there is no doc_id), the shingle set must.
+    ids = scratch.cut(told.groupBy("doc_id").agg(F.bool_and("_goes").alias("_all"), F.bool_or("_goes").alias("_any")).where("_any").select(F.col("doc_id").alias("_near_id"), (F.col("_all") & F.col("doc_id").isNotNull()).alias("_all")))
+    stay = docs.join(ids.where("_all"), F.col("doc_id") == F.col("_near_id"), "left_anti")
+    some = ids.where("NOT _all").select("_near_id")
+    if some.isEmpty():
+        return stay
+    goes = scratch.cut(told.where("_goes").join(some, F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi").select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_set")))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            digest = pa.array([set_digest(shingle_set(t, shingle)) for t in texts(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digest], [*batch.schema.names, "_near_digest"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id"))
+    marked = stay.join(some, same, "left_semi").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.BinaryType())]))
+    kept = marked.join(goes, same & (F.col("_near_digest") == F.col("_near_set")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    return stay.join(some, same, "left_anti").unionByName(kept)
 
 
 def op9_simhash_gray(spark, sf_dir: str) -> DataFrame:
