@@ -7,7 +7,8 @@ q-grams are counted in bands of 2(k + 1) diagonals that overlap by half, so one
 verified by an alignment within the band. Items too short for the bound to be positive get a smaller k, and items shorter than q are
 looked up as they are.
 
-The benchmark is the query set: it is held against all documents in blocks of at most ``BLOCK_CHARS`` characters, each block's index being broadcast.
+The benchmark is the query set: it is held against all documents in blocks of at most ``BLOCK_CHARS`` characters (a longer item is a block of its own), whose index of at most some 36 bytes a character
+is broadcast: 64 MB a block. Blocks run one after another, each over all documents: the result of all but the last is written before the next index is made, and its index is destroyed.
 
 Defined results: null or empty texts hold nothing, and null or blank items stand nowhere; repeated rows are matched each for itself, repeated item
 rows like one; a null doc_id is kept; empty tables give no rows; other columns are not read. Long texts are read in overlapping windows.
@@ -22,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.arrow import column, slices, texts
+from kindred.plans.scratch import Scratch
 
-Q, RATE, BLOCK_CHARS = 10, 0.08, 8_000_000
+Q, RATE, BLOCK_CHARS = 10, 0.08, 1_800_000
 #: Characters of a document that are looked at together.
 WINDOW = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,10 +70,11 @@ class GramIndex:
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        flat, self.owner, self.place = flat[order], owner[order], place[order]
-        self.grams, self.first, self.times = np.unique(flat, return_index=True, return_counts=True)
-        self.bits = 16
-        while 1 << self.bits < 32 * len(self.grams) and self.bits < 26:
+        flat, self.owner, self.place = flat[order], owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.grams, first = np.unique(flat, return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int32)
+        self.bits = 16  # some 32 places for each q-gram of a small index, eight of a large one
+        while 1 << self.bits < (32 if self.bits < 22 else 8) * len(self.grams):
             self.bits += 1
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.grams >> np.uint64(64 - self.bits)] = True
@@ -88,13 +91,13 @@ class GramIndex:
         at, gram = at[same], gram[same]
         if len(at) < self.needed.min():
             return
-        times = self.times[gram]
+        times = (self.first[gram + 1] - self.first[gram]).astype(np.int64)
         ends = np.cumsum(times)
         posting = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times - self.first[gram], times)
-        item = self.owner[posting]
+        item = self.owner[posting].astype(np.int64)
         diagonal = np.repeat(at, times) - self.place[posting]
         band = diagonal // (self.edits[item] + 1)
-        key = item.astype(np.int64) << 40 | (band + (1 << 38))
+        key = item << 40 | (band + (1 << 38))
         keys, counts = np.unique(key, return_counts=True)
         # A band of twice the stride: its own half and the next one.
         after = np.searchsorted(keys, keys + 1)
@@ -161,11 +164,21 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tupl
 _MATCHES = "doc_id long, item_id long, distance int, end long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+def _each_block(docs: DataFrame, benchmark: DataFrame, q: int, rate: float, limit: int):
+    """(index as a broadcast, whether it is the last) of each block of the benchmark."""
+    spark, waiting = docs.sparkSession, None
+    for block in blocks(benchmark, limit):
+        if waiting is not None:
+            yield spark.sparkContext.broadcast(GramIndex(waiting, q, rate)), False
+        waiting = block
+    if waiting is not None:
+        yield spark.sparkContext.broadcast(GramIndex(waiting, q, rate)), True
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, q: int = Q, rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end (after the best place's last character in the plain text): a row for each item in each document that holds it."""
-    spark, out = docs.sparkSession, None
-    for block in blocks(benchmark):
-        index = spark.sparkContext.broadcast(GramIndex(block, q, rate))
+    out = docs.sparkSession.createDataFrame([], _MATCHES)
+    for index, last in _each_block(docs, benchmark, q, rate, limit):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
@@ -177,15 +190,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "distance", "end"])
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], _MATCHES) if out is None else out
+        if not last:
+            found = scratch.cut(found)
+            index.destroy()
+        out = out.unionByName(found)
+    return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, q: int = Q, rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` without a benchmark item, row by row and without a shuffle."""
-    spark = docs.sparkSession
-    for block in blocks(benchmark):
-        index = spark.sparkContext.broadcast(GramIndex(block, q, rate))
+    for index, last in _each_block(docs, benchmark, q, rate, limit):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
@@ -193,8 +207,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
                 yield batch.filter(pa.array([not known.matches(plain(t)) for t in texts(batch, "text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = scratch.cut(docs)
+            index.destroy()
     return docs
 
 
 def op10_benchmark_qgram(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "qgram"))
