@@ -10,7 +10,7 @@ all documents and whole texts in one pass without a shuffle.
 
 Defined results: a null text counts as empty and gets the score of an empty text; repeated rows get equal scores; a doc_id that is labelled more than once has
 its highest label, null labels count as none; if the draw lacks one of the classes, every score is the share of toxic rows in it (0 without labels); an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; a row without a doc_id is scored like any other and is not held out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -172,7 +172,9 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
 
     # The trees' own rows say little about new ones; without held-back rows (tiny tables) they must do.
     held = raw(rest if rest.limit(1).count() else fit)
-    curve = IsotonicRegression(featuresCol="_tox_raw", labelCol="toxic", predictionCol="_tox_score").fit(held)
+    # One row for each distinct score: the same curve, as equal scores are pooled in any case, and no score is a hot key.
+    distinct = held.groupBy("_tox_raw").agg(F.avg("toxic").alias("toxic"), F.count(F.lit(1)).cast("double").alias("_tox_weight"))
+    curve = IsotonicRegression(featuresCol="_tox_raw", labelCol="toxic", weightCol="_tox_weight", predictionCol="_tox_score").fit(distinct)
 
     def scored(df: DataFrame, keep: bool = False) -> DataFrame:
         out = curve.transform(raw(featured(df, lexicon, keep)))
@@ -197,7 +199,7 @@ def op3_toxicity_trees(spark, sf_dir: str) -> DataFrame:
     scored = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "toxicity"))
     return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

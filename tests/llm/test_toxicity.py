@@ -67,3 +67,25 @@ def test_features_of_odd_texts():
     for text in ("", " ", "!!!", "you badword", "b@dw0rd", "b a d w o r d", "NASTY nastiest", "日本語 😀", "x" * 100_000):
         assert len(measure(text)) == len(measure("")) and all(v == v for v in measure(text))
     assert measure("you are a badword")[7] > 0 and measure("b@dw0rd here")[8] > 0 and measure("nastiest")[4] > 0
+
+
+def test_query_on_held_out_rows(spark, sf):
+    """The query itself: every document once, the folds by crc32, and held-out labels classed well on the documents at hand."""
+    import zlib
+
+    where = sf.replace("0.001", "0.1")
+    rows = X.op3_toxicity_trees(spark, where).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{where}/documents.parquet").select("doc_id").collect())
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    caught = [p for y, p in held if y == 1]
+    assert sum(caught) >= 0.9 * len(caught) and sum(y == 1 for y, p in held if p) >= 0.9 * sum(p for _, p in held)
+
+
+def test_row_without_id(spark, scratch):
+    docs = spark.createDataFrame([(None, "some text"), (1, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    docs.write.parquet(scratch.root + "/x/documents.parquet")
+    labels.write.parquet(scratch.root + "/x/labels.parquet")
+    assert {(r["doc_id"], r["held_out"]) for r in X.op3_toxicity_trees(spark, scratch.root + "/x").collect()} == {(None, False), (1, False)}
