@@ -12,6 +12,7 @@ a null doc_id is kept; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import json
+import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -157,73 +158,68 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
-#: A pre-token is common if it makes up this share of all occurrences: no more than 1 / share can be, whatever the corpus.
+#: A pre-token is common if it makes up this share of all occurrences: no more than 1 / share can be, whatever the corpus, of CACHED_CHARS characters (or a digest) each.
 COMMON = 1e-6
 
 
-def vocabulary(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
-    """piece, n (occurrences in all documents), tokens: each distinct pre-token's pieces are counted once."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = loaded(blob), Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+def pre_token_frequencies(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
+    """uid, doc_id, n_bytes, pieces, counts: each document's distinct pre-tokens and how often it has them, in one pass over the texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(blob)
         for batch in slices(batches, "text"):
+            size, pieces, counts, ends = [], [], [], [0]
             for t in texts(batch, "text"):
-                seen.update(bpe.pre_tokens(t))
-            if len(seen) >= CACHE:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+                seen = Counter(bpe.pre_tokens(t))
+                size.append(len(t.encode()))
+                pieces += seen
+                counts += seen.values()
+                ends.append(len(pieces))
+            at = pa.array(ends, pa.int32())
+            listed = [pa.ListArray.from_arrays(at, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(batch, "uid"), column(batch, "doc_id"), pa.array(size, pa.int64()), *listed], ["uid", "doc_id", "n_bytes", "pieces", "counts"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    return scratch.cut(rows.mapInArrow(run, "uid long, doc_id long, n_bytes long, pieces array<string>, counts array<long>"))
+
+
+def _key(piece: str):
+    """The pre-token, or for a longer one a digest (of another length, so that the two can't be mistaken for each other)."""
+    return F.when(F.length(piece) > CACHED_CHARS, F.concat(F.lit("#"), F.sha2(piece, 256))).otherwise(F.col(piece))
+
+
+def vocabulary(table: DataFrame, blob, scratch: Scratch) -> DataFrame:
+    """key, n (occurrences in all documents), tokens: each distinct pre-token's pieces are counted once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(blob)
         for batch in slices(batches, "piece"):
             n = [len(bpe.encode_piece(p)) for p in texts(batch, "piece")]
-            yield pa.RecordBatch.from_arrays([column(batch, "piece"), column(batch, "n"), pa.array(n, pa.int64())], ["piece", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "n"), pa.array(n, pa.int64())], ["key", "n", "tokens"])
 
-    pieces = docs.select("text").mapInArrow(gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return scratch.cut(pieces.mapInArrow(count, "piece string, n long, tokens long"))
+    pieces = table.select(F.inline(F.arrays_zip(F.col("pieces").alias("piece"), F.col("counts").alias("times")))).groupBy("piece").agg(F.sum("times").alias("n"))
+    return scratch.cut(pieces.select(_key("piece").alias("key"), "n", "piece").mapInArrow(count, "key string, n long, tokens long"))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, common: float = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens. No ids are made: pieces per distinct pre-token are joined to each document's pre-token frequencies and summed.
 
-    Pre-tokens that make up the share ``common`` of all occurrences (and have at most CACHED_CHARS characters) are joined within the workers by a
-    table of at most 1 / common entries, as a broadcast join does; all others by a shuffle on the pre-token. So no pre-token is a hot key.
+    Pre-tokens that make up the share ``common`` of all occurrences are joined by broadcast, a table of at most 1 / common short keys; all others by a
+    shuffle on the key. So no pre-token is a hot key, however long it is.
     """
-    spark = docs.sparkSession
-    blob = _file(spark, tokenizer)
-    words = vocabulary(docs, blob, scratch)
+    blob = _file(docs.sparkSession, tokenizer)
+    table = pre_token_frequencies(docs, blob, scratch)
+    words = vocabulary(table, blob, scratch)
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.where((F.length("piece") <= CACHED_CHARS) & (F.col("n") >= max(2, total * common))).select("piece", "tokens").collect()
-    known = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in top})
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, here = loaded(blob), known.value
-        for batch in slices(batches, "text"):
-            size, total, pieces, counts = [], [], [], []
-            for t in texts(batch, "text"):
-                tokens = bpe.pre_tokens(t)
-                rest = Counter(p for p in tokens if p not in here)
-                size.append(len(t.encode()))
-                total.append(sum([here[p] for p in tokens if p in here]))
-                pieces.append(list(rest))
-                counts.append(list(rest.values()))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "uid"), column(batch, "doc_id"), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(pieces, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                ["uid", "doc_id", "n_bytes", "total", "pieces", "counts"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    table = scratch.cut(rows.mapInArrow(frequencies, "uid long, doc_id long, n_bytes long, total long, pieces array<string>, counts array<long>"))
-    rare = table.select("uid", F.explode(F.arrays_zip("pieces", "counts")).alias("x")).select("uid", F.col("x.pieces").alias("piece"), F.col("x.counts").alias("times"))
+    often = F.broadcast(words.where(F.col("n") >= max(2, math.ceil(total * common))).select("key", "tokens"))
+    said = table.select("uid", F.inline(F.arrays_zip(F.col("pieces").alias("piece"), F.col("counts").alias("times")))).select("uid", _key("piece").alias("key"), "times")
+    # Occurrences of common pre-tokens are summed before they leave the task: a row a document.
+    near = said.join(often, "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("tokens")).alias("total"))
+    far = said.join(often, "key", "left_anti").join(words.select("key", "tokens"), "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("tokens")).alias("total"))
     nothing = F.lit(None).cast("long")
-    joined = rare.join(words.select("piece", "tokens"), "piece").select("uid", nothing.alias("doc_id"), nothing.alias("n_bytes"), (F.col("times") * F.col("tokens")).alias("total"))
-    both = table.select("uid", "doc_id", "n_bytes", "total").unionByName(joined)
+    both = table.select("uid", "doc_id", "n_bytes", F.lit(0).cast("long").alias("total"))
+    for part in (near, far):
+        both = both.unionByName(part.select("uid", nothing.alias("doc_id"), nothing.alias("n_bytes"), "total"))
     return both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("total").alias("n_tokens")).drop("uid")
 
 

@@ -59,3 +59,23 @@ def test_tables(spark, odd, nothing, library, scratch):
         counted = sorted(map(tuple, bpe.count_tokens(odd, PATH, scratch, common).collect()), key=str)
         assert counted == sorted(((d, len(t.encode()), len(want[d, t])) for d, t in rows), key=str)
     assert bpe.encode_decode(nothing, PATH).count() == 0 and bpe.count_tokens(nothing, PATH, scratch).count() == 0
+
+
+def test_hot_long_pre_tokens(spark, library, scratch):
+    """A rule of eighty signs in every document, and a text that looks like a digest of it."""
+    rule = "=" * 80
+    rows = [(k, f"{rule}\n{'x' * 100} {k}") for k in range(50)] + [(99, "#" + hashlib.sha256(rule.encode()).hexdigest()), (100, "y" * 64), (101, "y" * 65)]
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, scratch, 1e-3).collect()}
+    assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
+
+
+def test_queries_on_whole_tables(spark, sf, library):
+    """Both queries against the library on every document."""
+    where = sf.replace("0.001", "0.01")
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
+    want = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs.items()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    counted = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in bpe.op7_token_counts(spark, where).collect()}
+    assert counted == {d: (len(docs[d].encode()), len(ids), len(ids) > 512) for d, ids in want.items()}
+    digests = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op6_bpe_forced_boundaries(spark, where).collect()}
+    assert digests == {d: (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))) for d, ids in want.items()}
