@@ -1,12 +1,14 @@
 """Secret scan: rules propose candidates, a random forest removes false positives.
 
-Candidates are long runs of key characters with digits and letters, values assigned to a name of the secret family, strings of known key formats and
-private-key headers. The forest reads candidate length, character transitions (class changes, surprise of character pairs, entropy), dictionary
-coverage, the path and the neighbouring words. It is trained from labelled findings (candidate, before, after, path, label); without a
-table of their own callers get ``made_findings``: a fixed number of findings written by rule from a seed, no matter how large the corpus.
+Candidates are values assigned to a name of the secret family (also as KEY=value, in JSON, YAML and the query of a URL), passwords inside URLs, strings of known key formats, private-key headers, and
+long runs of key characters with digits and letters. The forest reads candidate length, character transitions (class changes, surprise of character pairs, entropy), dictionary
+coverage, the path and the neighbouring words. The dictionary is the ``WORDS`` words that most documents have, counted over all of them, and a few words of placeholders. The forest is trained from labelled
+findings (candidate, before, after, path, label), of which at most ``FINDINGS``, drawn by a hash, are read, each as the scan would cut it out of its surroundings; without a table of their own callers get
+``made_findings``: a fixed number of findings written by rule from a seed, no matter how large the corpus.
 
 Defined results: a null or empty text has no finding; a null path counts as empty; repeated rows are scanned each for itself; a null doc_id is kept; an
-empty table gives no rows; other columns are not read. Whole texts are read, and every kept finding is returned.
+empty table gives no rows; other columns are not read. Findings without a candidate or label are left out, their other nulls count as empty; if those that remain lack one of the labels, every candidate scores
+the share of true ones (0.5 without any). Whole texts are read, and every kept finding is returned.
 """
 
 from __future__ import annotations
@@ -32,20 +34,34 @@ FORMATS = {
     "aws_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}", "stripe": r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google": r"AIza[0-9A-Za-z_\-]{35}", "jwt": r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
 }
-NAMES = "token secret password passwd pwd apikey key auth credential credentials bearer private".split()
+NAMES = "token secret password passwd pwd pass apikey key auth authorization credential credentials bearer private".split()
+ENDINGS = ("password", "passwd", "secret", "token", "apikey")
 AGAINST = "commit sha sha1 sha256 md5 hash checksum digest uuid guid id revision etag integrity image png font svg version build isbn iban account order serial fingerprint blob tree".split()
 DICTIONARY = "your example test sample dummy placeholder change changeme here insert replace foo bar baz secret password token key api access user admin name value string default none null true false config env prod dev local host data file path the and for with from this that".split()
 TESTS = "test tests spec mock fixture fixtures example examples sample doc docs demo".split()
 #: Characters before and after a candidate that are read; findings that are made to learn from; trees and their depth.
 NEAR, MADE, TREES, DEPTH, SEED = 48, 4_000, 40, 7, 5
+#: Findings that are read of a caller's table, words of the dictionary, and their lengths.
+FINDINGS, WORDS, LENGTHS = 20_000, 20_000, range(4, 16)
 _RUN = re.compile(r"[A-Za-z0-9+/_\-.]{14,}(?:={1,2}(?![A-Za-z0-9+/=_\-.]))?")  # '=' is padding at the end, else it parts name and value
-_ASSIGNED = re.compile(r"[:=]\s*[\"']?([^\s\"'<>,;]{6,})")
+_ASSIGNED = re.compile(r"[:=](?=\s*(?:[\"']\s*)?(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)\s+)?((?:[^\s\"'<>,;&]|&(?!\w+=)){6,}))")
+_URL = re.compile(r"[a-z]://[^\s/:@]*:([^\s/@]{6,})@")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HEADER = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _KNOWN = {k: re.compile(v) for k, v in FORMATS.items()}
 _INSIDE = {k: re.compile(rf"(?<![A-Za-z0-9])(?:{v})(?![A-Za-z0-9])") for k, v in FORMATS.items()}
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _said(text: str) -> list[str]:
+    """Words of a context; camelCase and snake_case are parted."""
+    return _WORDS.findall(_CAMEL.sub(" ", text).lower().replace("_", " "))
+
+
+def _names(words: list[str]) -> bool:
+    return any(w in NAMES or w.endswith(ENDINGS) for w in words)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, length, kind) of each candidate, none inside another."""
     found = {}
@@ -53,8 +69,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         found[m.start()] = (m.end(), "private_key")
     if "=" in text or ":" in text:
         for m in _ASSIGNED.finditer(text):
-            if set(_WORDS.findall(text[max(m.start() - 24, 0) : m.start()].lower().replace("_", " "))) & set(NAMES):
+            if _names(_said(text[max(m.start() - 24, 0) : m.start()])):
                 found.setdefault(m.start(1), (m.end(1), "assigned"))
+    if "://" in text:
+        for m in _URL.finditer(text):
+            found[m.start(1)] = (m.end(1), "url")
     for kind, p in _INSIDE.items():
         for m in p.finditer(text):
             found.setdefault(m.start(), (m.end(), kind))
@@ -97,22 +116,26 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def measures(candidate: str, before: str, after: str, path: str, transitions: Transitions) -> list[float]:
-    n, counts, low = max(len(candidate), 1), Counter(candidate), candidate.lower()
-    left, right, at = _WORDS.findall(before.lower().replace("_", " ")), _WORDS.findall(after.lower()), set(_WORDS.findall(path.lower()))
+def coverage(low: str, words: frozenset[str]) -> int:
+    """Characters that some word of the dictionary covers."""
     covered = bytearray(len(low))
-    for w in DICTIONARY:
-        i = low.find(w)
-        while i >= 0:
-            covered[i : i + len(w)] = b"\x01" * len(w)
-            i = low.find(w, i + 1)
+    for i in range(len(low)):
+        for n in LENGTHS:
+            if low[i : i + n] in words and i + n <= len(low):
+                covered[i : i + n] = b"\x01" * n
+    return sum(covered)
+
+
+def measures(candidate: str, before: str, after: str, path: str, transitions: Transitions, words: frozenset[str] = frozenset()) -> list[float]:
+    n, counts, low = max(len(candidate), 1), Counter(candidate), candidate.lower()
+    left, right, at = _said(before), _said(after), set(_WORDS.findall(path.lower()))
     tail = before.rstrip("\"' ")
     return [
         float(n), -sum(k / n * math.log2(k / n) for k in counts.values()), sum(_kind(a) != _kind(b) for a, b in zip(candidate, candidate[1:])) / n, transitions.surprise(candidate),
-        sum(covered) / n, len(counts) / n, sum(c.isdigit() for c in candidate) / n, sum(c.isupper() for c in candidate) / n, float(set(low) <= set("0123456789abcdef-")),
-        float(candidate.count("-") == 4 and n == 36), float(any(w in NAMES for w in left[-4:])), float(any(w in AGAINST for w in left[-4:])), float(any(w in AGAINST for w in right[:3])),
+        coverage(low, words) / n, len(counts) / n, sum(c.isdigit() for c in candidate) / n, sum(c.isupper() for c in candidate) / n, float(set(low) <= set("0123456789abcdef-")),
+        float(candidate.count("-") == 4 and n == 36), float(_names(left[-4:])), float(any(w in AGAINST for w in left[-4:])), float(any(w in AGAINST for w in right[:3])),
         float(tail.endswith(("=", ":"))), float(before[-1:] in "\"'" and bool(before)), float(bool(at & set(TESTS))), float(any(p.fullmatch(candidate) for p in _KNOWN.values())),
-        float("private key" in low),
+        float("private key" in low), float(after[:1] == "@" and "://" in before),
     ]
 
 
@@ -134,6 +157,10 @@ def made_findings(spark: SparkSession, rows: int = MADE, seed: int = SEED) -> Da
             lambda: "ghp_" + take(key, 36), lambda: "sk_live_" + take(key, 24), lambda: take(key + "!#%&*", draw.randint(8, 16)), lambda: "-----BEGIN RSA PRIVATE KEY-----",
             lambda: "eyJ" + take(key, 20) + "." + take(key, 30) + "." + take(key, 30), lambda: take(hexa, 40), lambda: take(hexa, 40),
         ])()
+        if draw.random() < 0.06:
+            return value, draw.choice(("postgres", "https", "redis", "amqp")) + f"://{word()}:", f"@{word()}.example:{draw.randint(80, 9999)}/{word()}"
+        if draw.random() < 0.06:
+            return value, prose(2) + draw.choice((" Authorization: Bearer ", ' "Authorization": "Bearer ', " authorization: Basic ")), draw.choice(('"', "\n", " ")) + prose(1)
         quote = draw.choice(('"', '"', "'", ""))
         return case(value) if set(value) <= set(hexa) else value, prose(3) + " " + case(draw.choice((name, "api_" + name, "access_" + name)) + draw.choice((" = ", "=", ": "))) + quote, quote + draw.choice((" ", "\n", ". ")) + prose(2)
 
@@ -161,34 +188,63 @@ def made_findings(spark: SparkSession, rows: int = MADE, seed: int = SEED) -> Da
     return spark.createDataFrame(out, "candidate string, before string, after string, path string, label int")
 
 
-def train(findings: DataFrame) -> tuple[RandomForestClassificationModel, Transitions]:
-    """The forest and the pair model of labelled findings (a table of thousands of rows, read by the driver)."""
-    rows = findings.collect()
-    transitions = Transitions([r["candidate"] for r in rows if not r["label"]])
-    spark = findings.sparkSession
-    told = spark.createDataFrame([(float(r["label"]), measures(r["candidate"], r["before"], r["after"], r["path"], transitions)) for r in rows], "label double, f array<double>")
+def dictionary(docs: DataFrame, size: int = WORDS) -> frozenset[str]:
+    """The words that most documents have, counted over all of them, and those of placeholders."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")), lambda w: w.rlike(f"^[a-z]{{{LENGTHS[0]},{LENGTHS[-1]}}}$"))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return frozenset(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()) | frozenset(w for w in DICTIONARY if len(w) >= LENGTHS[0])
+
+
+def as_scanned(candidate: str, before: str, after: str) -> tuple[str, str, str]:
+    """The finding as ``candidates`` cuts it out of its surroundings: the piece that overlaps it most, or as it is where the rules propose none."""
+    text, start = before + candidate + after, len(before)
+    shared = lambda c: min(c[0] + c[1], start + len(candidate)) - max(c[0], start)
+    best = max(candidates(text), key=shared, default=None)
+    if best is None or shared(best) <= 0:
+        return candidate, before, after
+    at, n, _ = best
+    return text[at : at + n], text[max(at - NEAR, 0) : at], text[at + n : at + n + NEAR]
+
+
+def train(findings: DataFrame, words: frozenset[str] = frozenset(), limit: int = FINDINGS) -> tuple[RandomForestClassificationModel | None, Transitions, float]:
+    """The forest (None without findings of both labels), the pair model, and the share of true findings (0.5 without any)."""
+    texts_ = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "after", "path")]
+    rows = findings.where(F.col("candidate").isNotNull() & F.col("label").isNotNull()).select("candidate", *texts_, (F.col("label") > 0).alias("label"))
+    rows = rows.orderBy(F.xxhash64("candidate", "before", "after", "path", F.lit(SEED)), "candidate", "before", "after", "path", "label").limit(limit).collect()
+    cut = [(*as_scanned(r["candidate"], r["before"], r["after"]), r["path"], r["label"]) for r in rows]
+    transitions = Transitions([c for c, *_, label in cut if not label])
+    share = sum(label for *_, label in cut) / len(cut) if cut else 0.5
+    if share in (0.0, 1.0) or not cut:
+        return None, transitions, share
+    told = findings.sparkSession.createDataFrame([(float(label), measures(c, before, after, path, transitions, words)) for c, before, after, path, label in cut], "label double, f array<double>")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=SEED).fit(told.select("label", array_to_vector("f").alias("features")))
-    return forest, transitions
+    return forest, transitions, share
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame, path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, kind, start (code points), length, secret (the string), score: the findings that the forest keeps."""
-    forest, transitions = train(findings)
+    words = dictionary(docs)
+    forest, transitions, share = train(findings, words)
+    known = docs.sparkSession.sparkContext.broadcast((transitions, words))  # WORDS words and the pairs of characters of at most FINDINGS candidates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transitions, words = known.value
         for batch in slices(batches, "text"):
             rows = []
             for doc, path, text in zip(column(batch, "doc_id").to_pylist(), texts(batch, "path"), texts(batch, "text")):
                 for start, n, kind in candidates(text):
                     found = text[start : start + n]
-                    rows.append((doc, kind, start, n, found, measures(found, text[max(start - NEAR, 0) : start], text[start + n : start + n + NEAR], path, transitions)))
+                    rows.append((doc, kind, start, n, found, measures(found, text[max(start - NEAR, 0) : start], text[start + n : start + n + NEAR], path, transitions, words)))
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "kind", "start", "length", "secret", "f"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col(path_col).cast("string").alias("path"), "text")
     found = source.mapInArrow(run, "doc_id long, kind string, start long, length long, secret string, f array<double>")
-    scored = forest.transform(found.withColumn("features", array_to_vector("f"))).withColumn("score", vector_to_array("probability")[1])
+    if forest is None:
+        scored = found.withColumn("score", F.lit(float(share)))
+    else:
+        scored = forest.transform(found.withColumn("features", array_to_vector("f"))).withColumn("score", vector_to_array("probability")[1])
     return scored.where(F.col("score") >= threshold).select("doc_id", "kind", "start", "length", "secret", "score")
 
 
