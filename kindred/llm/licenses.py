@@ -1,10 +1,10 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
-Document frequencies of all template words are counted over all documents. The index has, for each template, postings (template, position) of its
-words of highest IDF. Each file's index words are looked up; postings that agree on the same start are intersected; and at each start that all of a
+Templates are whole licence texts and notices with a mandatory key phrase inside, and short forms. Document frequencies of the key phrases' words are counted over all documents. The index has, for each template,
+postings (template, position) of its key phrase's words of highest IDF. Each file's index words are looked up; postings that agree on the same start are intersected; and at each start that all of a
 template's index words agree on, its mandatory key phrase must stand word for word. Base phrases are templates that are mandatory as a whole, so
 every place of theirs is found: a place has all words of the phrase, its rarest ones too. The score of a start is the share of the template's
-words that stand at their relative positions; a file's score is its best one.
+words that stand at their relative positions, so a whole licence scores 1 and a mention of its key phrase little; a file's score is its best one.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; repeated rows are scanned each for itself; an empty table
 gives no rows; other columns are not read. Only the counts (one row a template word) reach the driver.
@@ -13,26 +13,63 @@ gives no rows; other columns are not read. Only the counts (one row a template w
 from __future__ import annotations
 
 import math
+import re
 import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Public licence texts and notices, the parts that stay the same in each use.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+See the GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment
+in perpetuity of all present and future rights to this software under copyright law."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
 #: Label, whether it is a base phrase, template text, mandatory key phrase.
-TEMPLATES = [
+TEXTS = [
     ("mit", True, "mit license", "mit license"),
     ("apache", True, "apache license", "apache license"),
     ("gpl", True, "general public license", "general public license"),
-    ("mit-notice", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("apache-2.0", False, "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("mit-notice", False, MIT, "permission is hereby granted free of charge"),
+    ("apache-2.0", False, APACHE, "apache license version 2 0"),
+    ("gpl-notice", False, GPL, "under the terms of the gnu general public license"),
     ("gpl-2.0", False, "gnu general public license version 2", "general public license version 2"),
     ("gpl-3.0", False, "gnu general public license version 3", "general public license version 3"),
     ("lgpl", False, "gnu lesser general public license", "lesser general public license"),
     ("agpl", False, "gnu affero general public license", "affero general public license"),
-    ("mpl-2.0", False, "mozilla public license version 2 0", "mozilla public license"),
-    ("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
-    ("unlicense", False, "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("mpl-2.0", False, MPL, "mozilla public license"),
+    ("bsd", False, f"{BSD} {BSD_END}", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", False, f"{BSD} {BSD_3} {BSD_END}", "neither the name of the copyright holder nor the names of its contributors"),
+    ("isc", False, ISC, "for any purpose with or without fee is hereby granted"),
+    ("zlib", False, ZLIB, "the origin of this software must not be misrepresented"),
+    ("unlicense", False, UNLICENSE, "free and unencumbered software"),
     ("cc-by-4.0", False, "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-sa-4.0", False, "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-nc-4.0", False, "licensed under cc by nc 4 0", "cc by nc 4 0"),
@@ -41,6 +78,8 @@ TEMPLATES = [
 ]
 #: What stands between words once A-Z count as letters.
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The templates as words, read by the same rule as files.
+TEMPLATES = [(label, base, re.sub(_BREAKS, " ", text).strip().lower(), phrase) for label, base, text, phrase in TEXTS]
 
 
 def _spaced(text: Column) -> Column:
@@ -49,8 +88,8 @@ def _spaced(text: Column) -> Column:
 
 
 def word_frequencies(docs: DataFrame) -> dict[str, int]:
-    """In how many documents each template word stands; all documents count."""
-    vocabulary = sorted({w for _, _, t, _ in TEMPLATES for w in t.split()})
+    """In how many documents each word of a key phrase stands; all documents count."""
+    vocabulary = sorted({w for *_, phrase in TEMPLATES for w in phrase.split()})
     found = F.array_intersect(F.split(F.lower(_spaced(F.col("text"))), " "), F.array(*map(F.lit, vocabulary)))
     rows = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["n"] for r in rows}

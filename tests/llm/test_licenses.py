@@ -44,6 +44,20 @@ def test_whole_table(spark, sf):
         assert 0 <= r["score"] <= 1
 
 
+def test_whole_licences_score(spark):
+    """A whole text scores 1 under its own label, with a header before it and other words for its signs; a mention of the key phrase scores little."""
+    whole = {label: text for label, base, text, _ in L.TEXTS if len(text) > 100}
+    rows = [(k, f"Copyright (c) 2020 Some One\n\n# {t.replace(', ', ',\n# ')}\nint main()") for k, t in enumerate(whole.values())]
+    rows += [(100 + k, next(p for n, _, _, p in L.TEMPLATES if n == label)) for k, label in enumerate(whole)]
+    got = {r["doc_id"]: {x["label"]: x["score"] for x in r["found"]} for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(whole):
+        assert got[k][label] == 1.0 and 0 < got[100 + k][label] < 0.4
+
+
+def test_key_phrases_stand_in_their_templates():
+    assert all(f" {phrase} " in f" {text} " for _, _, text, phrase in L.TEMPLATES)
+
+
 def test_no_rows(nothing):
     assert L.scan_licenses(nothing).count() == 0
 
