@@ -19,7 +19,7 @@ have 512 bits of their distinct shingles, and an index has a sample of them: a f
 similarity stay within, for as many bits as two nodes mask; there are as many samples as find such a pair with ``RECALL`` in spite of that. What is within the radius is proposed, as a spanning forest, nearest
 first. Each proposed link is then held against the whole texts' shingle sets, and only links of the similarity stay. Small sets differ in more bits, as ties are frequent: entries of up to ``SMALL``
 shingles are searched once more, for the largest share of bits that two such sets may differ in. Entries that a failed link leaves apart from the most linked entry of their proposed group are held
-against that entry too, and then all pairs within the radius whose ends are still in different verified components are. So no failed link hides a true one, precision is exact, and
+against that entry too, and then all pairs are whose ends are still in different verified components, if they are as near by 2,048 bits too (families of one template have many pairs a little below the similarity). So no failed link hides a true one, precision is exact, and
 recall a matter of chance, documented in the README; it is higher the more similar the texts. Buckets of more than ``deal`` entries are large groups of near copies: all are first held against the
 bucket's least entry; then blocks of the others meet blocks of all, and only pairs within that entry's verified component are left out (``_in_blocks``).
 
@@ -46,6 +46,8 @@ from kindred.plans.scratch import Scratch
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle, least Jaccard similarity, recall of the search at that similarity, and 64-bit words of a fingerprint in search by similarity.
 WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.995, 8
+#: 64-bit words of the fingerprint that pairs are held against before they are verified, where many are near.
+CLOSE = 32
 #: Shares of the radius that are searched in turn.
 STEPS = (0.5, 1.0)
 #: Distinct shingles up to which entries are searched once more, by the share of bits that small sets may differ in; beyond, it is the angle's to 0.003.
@@ -155,7 +157,7 @@ def _cumulative(n: int, share: float) -> Iterator[float]:
     """P(X <= 0), P(X <= 1), .. of a binomial X."""
     total = 0.0
     for t in range(n + 1):
-        total += math.comb(n, t) * share**t * (1 - share) ** (n - t)
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(t + 1) - math.lgamma(n - t + 1) + t * math.log(share) + (n - t) * math.log1p(-share))
         yield total
 
 
@@ -279,6 +281,11 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndar
             root[:] = up
 
 
+def _numbers(values: pa.Array) -> np.ndarray:
+    """A column of numbers, or of lists of equal length as rows."""
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if pa.types.is_list(values.type) else values.to_numpy(zero_copy_only=False)
+
+
 def _per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of one bucket after the other, from rows sorted by bucket; no more than a bucket and a batch is held."""
 
@@ -292,7 +299,7 @@ def _per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndar
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {name: column(batch, name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        rows = {name: _numbers(column(batch, name)) for name in batch.schema.names}
         held = {k: np.concatenate([held[k], v]) for k, v in rows.items()} if held else rows
         whole = int(np.searchsorted(held["bucket"], held["bucket"][-1]))
         if whole:
@@ -444,23 +451,24 @@ class Search:
         self.samples = [draw.sample(range(bits), self.width + SKETCH) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - met)))]
 
     def dealt(self, entries: DataFrame) -> DataFrame:
-        """bucket, id, s0, s1 and the other numbers of ``entries`` (id, fp, ..), once for each sample."""
+        """bucket, id, s0, s1 and the other columns of ``entries`` (id, fp, ..), once for each sample."""
         samples, width = self.samples, self.width
-        others = [c for c in entries.columns if c not in ("id", "fp")]
-        names = ["bucket", "id", *(f"s{k}" for k in range(SKETCH // 64)), *others]
+        others = {c: t for c, t in entries.dtypes if c not in ("id", "fp")}
+        types = dict.fromkeys(("bucket", "id", *(f"s{k}" for k in range(SKETCH // 64))), "bigint") | others
+        names = list(types)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
-                    words = column(part, "fp").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    words = _numbers(column(part, "fp"))
                     bit = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
                     for k, places in enumerate(samples):
                         key = xx_rows(np.packbits(bit[:, places[:width]], axis=1), k)
                         sketch = np.ascontiguousarray(np.packbits(bit[:, places[width:]], axis=1)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T), *(column(part, c) for c in others)], names)
 
-        return entries.mapInArrow(deal, ", ".join(f"{c} long" for c in names))
+        return entries.mapInArrow(deal, ", ".join(f"{c} {t}" for c, t in types.items()))
 
     def forest(self, dealt: DataFrame) -> DataFrame:
         """src, dst: a spanning forest of each bucket's pairs within the radius, nearest first, between the components of ``dealt`` if it has them."""
@@ -473,15 +481,20 @@ class Search:
         return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(r) for r in _per_bucket(batches))).distinct()
 
     def apart(self, dealt: DataFrame, similarity: float) -> DataFrame:
-        """src, dst: all of each bucket's pairs within the radius whose components differ and whose sets' sizes allow the similarity."""
-        radius, limits = self.radius, self.limits
+        """src, dst: all of each bucket's pairs within the radius whose components differ, whose sets' sizes allow the similarity, and which are as near by the bits of ``close``."""
+        radius, limits, near = self.radius, self.limits, tolerated(64 * CLOSE, self.share, OUTSIDE)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for rows in _per_bucket(batches):
-                ids, size = rows["id"], rows["size"]
+                ids, size, close = rows["id"], rows["size"], rows["close"].view(np.uint64)
                 for i, j in GrayIndex(_sketch(rows), limits).pairs(radius, rows["component"]):
                     fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-                    yield ids[i[fits]], ids[j[fits]]
+                    i, j = i[fits], j[fits]
+                    for k in range(0, len(i), _PAIRS):  # bounds the memory of one step
+                        a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
+                        fits = np.bitwise_count(close[a] ^ close[b]).sum(1, dtype=np.int64) <= near
+                        if fits.any():
+                            yield ids[a[fits]], ids[b[fits]]
 
         return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(batches))).distinct()
 
@@ -523,7 +536,7 @@ def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
 
 
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """id, grams (distinct shingle hashes) of each linked entry, from a text of its least doc_id (of those without one, if it has no other)."""
+    """id, grams (distinct shingle hashes) and close (a longer fingerprint) of each linked entry, from a text of its least doc_id (of those without one, if it has no other)."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("digest").alias("_digest")))
     wanted = scratch.cut(linked.select("least").distinct())  # a table of known size: sent to the tasks only if it is small
@@ -531,12 +544,13 @@ def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "grams"])
+            close = [set_fingerprint(g, CLOSE).view(np.int64) for g in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, close))], ["digest", "grams", "close"])
 
     few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    told = few.mapInArrow(run, "digest binary, grams array<long>")
+    told = few.mapInArrow(run, "digest binary, grams array<long>, close array<long>")
     own = told.join(linked, F.col("digest") == F.col("_digest"))
-    return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
+    return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams"), F.min("close").alias("close")))
 
 
 def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -559,14 +573,6 @@ def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, simil
     return scratch.cut(sure.unionByName(_alike(more, sets, similarity)))
 
 
-def _within(pairs: DataFrame, entries: DataFrame, share: float) -> DataFrame:
-    """The pairs (src, dst) whose whole fingerprints differ in that share of their bits or little more."""
-    bits = 64 * WIDE
-    both = pairs.join(entries.select(F.col("id").alias("src"), F.col("fp").alias("_a")), "src").join(entries.select(F.col("id").alias("dst"), F.col("fp").alias("_b")), "dst")
-    differ = F.aggregate(F.zip_with("_a", "_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    return both.where(differ <= tolerated(bits, share, OUTSIDE)).select("src", "dst")
-
-
 def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, deal: int = DEAL, target: int = TARGET) -> DataFrame:
     """doc_id, fp, digest, component_id for every row: links between texts of the similarity, proposed by 512 bits and verified on whole texts."""
     marked = scratch.cut(wide_fingerprints(docs, shingle))
@@ -592,12 +598,12 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
     open_ = _open_groups(proposed, links, scratch)
     missed = []
     for s in searches:
-        rows = s.entries.join(open_, F.col("id") == F.col("node")).select("id", "fp", "size", "component")
+        rows = s.entries.join(open_, F.col("id") == F.col("node")).join(sets.select("id", "close"), "id").select("id", "fp", "size", "component", "close")
         again = scratch.cut(s.dealt(rows))
         wide = _large(again, scratch, deal)
         pairs = s.apart(again if wide.isEmpty() else _in_blocks(again, wide, scratch, deal), similarity)
-        missed.append(_within(scratch.cut(pairs.join(proposed, ["src", "dst"], "left_anti")), entries, s.share))
-    more = scratch.cut(_alike(missed[0].unionByName(missed[1]).distinct(), sets, similarity))
+        missed.append(pairs.join(proposed, ["src", "dst"], "left_anti"))
+    more = scratch.cut(_alike(scratch.cut(missed[0].unionByName(missed[1]).distinct()), sets, similarity))
     return _components(marked, entries, links.unionByName(more), scratch, "digest")
 
 
