@@ -39,9 +39,9 @@ class Scratch:
         self.paths: dict[int, str] = {}
         atexit.register(self._forget)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
