@@ -12,7 +12,6 @@ a null doc_id is kept; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import json
-import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from kindred.llm.arrow import column, slices, texts
+from kindred.llm.counts import frequent_from
 from kindred.plans.scratch import Scratch
 
 #: Fixed value: the pre-token pattern of byte-level BPE files.
@@ -158,8 +158,10 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
-#: A pre-token is common if it makes up this share of all occurrences: no more than 1 / share can be, whatever the corpus, of CACHED_CHARS characters (or a digest) each.
-COMMON = 1e-6
+#: Pre-tokens, the most frequent ones, that are joined by broadcast: keys of CACHED_CHARS characters or a digest, some 50 MB.
+COMMON = 500_000
+#: How the table of frequencies is written: words repeat, so a larger dictionary pays.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
 
 
 def pre_token_frequencies(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
@@ -180,7 +182,7 @@ def pre_token_frequencies(docs: DataFrame, blob, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "uid"), column(batch, "doc_id"), pa.array(size, pa.int64()), *listed], ["uid", "doc_id", "n_bytes", "pieces", "counts"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return scratch.cut(rows.mapInArrow(run, "uid long, doc_id long, n_bytes long, pieces array<string>, counts array<long>"))
+    return scratch.cut(rows.mapInArrow(run, "uid long, doc_id long, n_bytes long, pieces array<string>, counts array<long>"), **PACKED)
 
 
 def _key(piece: str):
@@ -198,20 +200,19 @@ def vocabulary(table: DataFrame, blob, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "n"), pa.array(n, pa.int64())], ["key", "n", "tokens"])
 
     pieces = table.select(F.inline(F.arrays_zip(F.col("pieces").alias("piece"), F.col("counts").alias("times")))).groupBy("piece").agg(F.sum("times").alias("n"))
-    return scratch.cut(pieces.select(_key("piece").alias("key"), "n", "piece").mapInArrow(count, "key string, n long, tokens long"))
+    return scratch.cut(pieces.select(_key("piece").alias("key"), "n", "piece").mapInArrow(count, "key string, n long, tokens long"), compression="zstd")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, common: float = COMMON) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens. No ids are made: pieces per distinct pre-token are joined to each document's pre-token frequencies and summed.
 
-    Pre-tokens that make up the share ``common`` of all occurrences are joined by broadcast, a table of at most 1 / common short keys; all others by a
-    shuffle on the key. So no pre-token is a hot key, however long it is.
+    The most frequent pre-tokens are joined by broadcast, a table of at most ``common`` short keys; all others by a shuffle on the key. So no pre-token is
+    a hot key, however long it is.
     """
     blob = _file(docs.sparkSession, tokenizer)
     table = pre_token_frequencies(docs, blob, scratch)
     words = vocabulary(table, blob, scratch)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    often = F.broadcast(words.where(F.col("n") >= max(2, math.ceil(total * common))).select("key", "tokens"))
+    often = F.broadcast(words.where(F.col("n") >= max(2, frequent_from(words, common))).select("key", "tokens"))
     said = table.select("uid", F.inline(F.arrays_zip(F.col("pieces").alias("piece"), F.col("counts").alias("times")))).select("uid", _key("piece").alias("key"), "times")
     # Occurrences of common pre-tokens are summed before they leave the task: a row a document.
     near = said.join(often, "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("tokens")).alias("total"))

@@ -54,8 +54,8 @@ def test_tables(spark, odd, nothing, library, scratch):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     got = sorted(map(tuple, bpe.digests(bpe.encode_decode(odd, PATH)).collect()), key=str)
     assert got == sorted(((d, len(want[d, t]), sha(",".join(map(str, want[d, t]))), sha(t)) for d, t in rows), key=str)
-    # Without common pre-tokens all go through the shuffle; with a large share all are looked up.
-    for common in (1.0, 1e-6):
+    # Without common pre-tokens all go through the shuffle; with many allowed, all but those that occur once are broadcast.
+    for common in (0, 20, 500_000):
         counted = sorted(map(tuple, bpe.count_tokens(odd, PATH, scratch, common).collect()), key=str)
         assert counted == sorted(((d, len(t.encode()), len(want[d, t])) for d, t in rows), key=str)
     assert bpe.encode_decode(nothing, PATH).count() == 0 and bpe.count_tokens(nothing, PATH, scratch).count() == 0
@@ -65,7 +65,7 @@ def test_hot_long_pre_tokens(spark, library, scratch):
     """A rule of eighty signs in every document, and a text that looks like a digest of it."""
     rule = "=" * 80
     rows = [(k, f"{rule}\n{'x' * 100} {k}") for k in range(50)] + [(99, "#" + hashlib.sha256(rule.encode()).hexdigest()), (100, "y" * 64), (101, "y" * 65)]
-    got = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, scratch, 1e-3).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, scratch, 20).collect()}
     assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
 
 
@@ -79,3 +79,11 @@ def test_queries_on_whole_tables(spark, sf, library):
     assert counted == {d: (len(docs[d].encode()), len(ids), len(ids) > 512) for d, ids in want.items()}
     digests = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op6_bpe_forced_boundaries(spark, where).collect()}
     assert digests == {d: (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))) for d, ids in want.items()}
+
+
+def test_most_frequent_rows(spark):
+    from kindred.llm.counts import frequent_from
+
+    rows = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 2, 5, 5, 90, 1000)], "n long")
+    assert [frequent_from(rows, k) for k in (0, 1, 2, 3, 4, 5, 6, 8, 9)] == [1001, 1000, 90, 90, 5, 5, 2, 2, 1]
+    assert frequent_from(rows.limit(0), 5) == 1
