@@ -2,7 +2,7 @@
 
 Candidates are values assigned to a name of the secret family (also as KEY=value, in JSON, YAML and the query of a URL), passwords inside URLs, strings of known key formats, private-key headers, and
 long runs of key characters with digits and letters. The forest reads candidate length, character transitions (class changes, surprise of character pairs, entropy), dictionary
-coverage, the path and the neighbouring words. The dictionary is the ``WORDS`` words that most documents have, counted over all of them, and a few words of placeholders. The forest is trained from labelled
+coverage, the path and the neighbouring words. The dictionary is the words that most documents have, ``WORDS`` at most, counted over all of them, and a few words of placeholders. The forest is trained from labelled
 findings (candidate, before, after, path, label), of which at most ``FINDINGS``, drawn by a hash, are read, each as the scan would cut it out of its surroundings; without a table of their own callers get
 ``made_findings``: a fixed number of findings written by rule from a seed, no matter how large the corpus.
 
@@ -28,6 +28,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.llm.arrow import column, slices, texts
+from kindred.llm.counts import frequent_from
+from kindred.plans.scratch import Scratch
 
 #: Formats of well-known keys, names that secrets are assigned to, words that speak against a secret, words of placeholders.
 FORMATS = {
@@ -188,11 +190,12 @@ def made_findings(spark: SparkSession, rows: int = MADE, seed: int = SEED) -> Da
     return spark.createDataFrame(out, "candidate string, before string, after string, path string, label int")
 
 
-def dictionary(docs: DataFrame, size: int = WORDS) -> frozenset[str]:
-    """The words that most documents have, counted over all of them, and those of placeholders."""
+def dictionary(docs: DataFrame, scratch: Scratch, size: int = WORDS) -> frozenset[str]:
+    """At most ``size`` words that most documents have, counted over all of them, and those of placeholders."""
     words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")), lambda w: w.rlike(f"^[a-z]{{{LENGTHS[0]},{LENGTHS[-1]}}}$"))
-    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return frozenset(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()) | frozenset(w for w in DICTIONARY if len(w) >= LENGTHS[0])
+    counts = scratch.cut(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    often = counts.where(F.col("n") >= frequent_from(counts, size)).select("w").collect()
+    return frozenset(r["w"] for r in often) | frozenset(w for w in DICTIONARY if len(w) >= LENGTHS[0])
 
 
 def as_scanned(candidate: str, before: str, after: str) -> tuple[str, str, str]:
@@ -221,9 +224,9 @@ def train(findings: DataFrame, words: frozenset[str] = frozenset(), limit: int =
     return forest, transitions, share
 
 
-def scan_secrets(docs: DataFrame, findings: DataFrame, path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, findings: DataFrame, scratch: Scratch, path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, kind, start (code points), length, secret (the string), score: the findings that the forest keeps."""
-    words = dictionary(docs)
+    words = dictionary(docs, scratch)
     forest, transitions, share = train(findings, words)
     known = docs.sparkSession.sparkContext.broadcast((transitions, words))  # WORDS words and the pairs of characters of at most FINDINGS candidates
 
@@ -249,4 +252,4 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, path_col: str = "source",
 
 
 def op1_secret_forest(spark, sf_dir: str) -> DataFrame:
-    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), made_findings(spark))
+    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), made_findings(spark), Scratch(spark, "secrets"))
