@@ -532,6 +532,7 @@ def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
     tight = scratch.cut(connected_components(links, scratch=scratch))
     placed = scratch.cut(loose.join(tight, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
     several = placed.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("group")
+    several = scratch.cut(several)
     return scratch.cut(placed.join(several, "group", "left_semi").select("node", "component"))
 
 
@@ -568,6 +569,7 @@ def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, simil
     degree = sure.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     placed = scratch.cut(loose.join(tight, "node", "left").join(degree, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
     centre = placed.groupBy("group").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"), "component")).alias("c")).select("group", (-F.col("c.least")).alias("centre"), F.col("c.component").alias("home"))
+    centre = scratch.cut(centre)  # a table of known size: a large group is not dealt to one task where the centres can be broadcast
     apart = placed.join(centre, "group").where(F.col("component") != F.col("home"))
     more = apart.select(F.least("centre", "node").alias("src"), F.greatest("centre", "node").alias("dst")).join(proposed, ["src", "dst"], "left_anti")
     return scratch.cut(sure.unionByName(_alike(more, sets, similarity)))
