@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred.functions import names as N, values as V
+from kindred.plans.scratch import Scratch
 
 
 def first_token(c: Column | str) -> Column:
@@ -137,7 +138,7 @@ def banded_pairs(df: DataFrame, name: str = "name_latin", band: int = 199, least
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.select("idx", F.col(name).alias("name")).repartitionByRange(parts, "name", "idx").withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(spark, "band").cut(df.select("idx", F.col(name).alias("name")).repartitionByRange(parts, "name", "idx").withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("name", "idx")))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred.functions import similarity as S
+from kindred.plans.scratch import Scratch
 
 
 def _shares(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -46,22 +47,33 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6) -> DataFrame:
-    """score, tpr, fpr, precision, recall at each distinct score, rounded to ``digits`` so that the curve has at most 10**digits points for scores of 0 to 1."""
-    points = score_counts(df.withColumn("_s", F.round(F.col(score).cast("double"), digits)), label, "_s")
-    down = Window.orderBy(F.desc("score"))
-    cum = points.select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+def _running(points: DataFrame, descending: bool) -> DataFrame:
+    """score, pos, neg and the sums tp, fp up to each score and with it. Scores are sorted in ranges and each range adds what those before it have, so no task sees all."""
+    spark = points.sparkSession
+    order = F.desc("score") if descending else F.asc("score")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = Scratch(spark, "curve").cut(points.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = ranged.groupBy("_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_part").orderBy(order)
+    local = ranged.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
+    return local.join(F.broadcast(ahead), "_part").select("score", "pos", "neg", (F.col("tp") + F.col("_p")).alias("tp"), (F.col("fp") + F.col("_n")).alias("fp"))
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """score, tpr, fpr, precision, recall at each distinct score."""
+    points = score_counts(df, label, score)
     total = points.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    joined = cum.crossJoin(F.broadcast(total))
+    joined = _running(points, descending=True).crossJoin(F.broadcast(total))
     recall = F.coalesce(F.try_divide("tp", "p"), F.lit(0.0))
     return joined.select("score", recall.alias("tpr"), F.coalesce(F.try_divide("fp", "n"), F.lit(0.0)).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """auc by rank sums, ties shared; null if a class is missing."""
-    points = score_counts(df.withColumn("_s", F.round(F.col(score).cast("double"), digits)), label, "_s")
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = points.select("pos", "neg", (F.col("pos") * (F.coalesce(F.sum("neg").over(up), F.lit(0)) + F.col("neg") / 2.0)).alias("w"))
+    points = _running(score_counts(df, label, score), descending=False)
+    won = points.select("pos", "neg", (F.col("pos") * (F.col("fp") - F.col("neg") / 2.0)).alias("w"))
     return won.agg(F.try_divide(F.sum("w"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
@@ -105,3 +117,14 @@ def error_summary(df: DataFrame, label: str = "label", prediction: str = "predic
     return df.agg(
         n.alias("pairs"), F.count_if(y != p).alias("errors"), F.count_if((y == 0) & (p == 1)).alias("false_positives"), F.count_if((y == 1) & (p == 0)).alias("false_negatives"), F.try_divide(F.count_if(y != p), n).alias("error_rate"),
     )
+
+
+def wrong_pairs(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """The pairs that were decided wrongly, with the kind of mistake."""
+    return df.where(F.col(label) != F.col(prediction)).withColumn("mistake", F.when(F.col(label) == 1, "false_negative").otherwise("false_positive"))
+
+
+def evaluate_model(pairs: DataFrame, scorer, threshold: float = 0.5, label: str = "label", by: list[str] = ()) -> DataFrame:
+    """Metrics of a scorer on labelled pairs with features, for each group of ``by``."""
+    scored = scorer(pairs).withColumn("prediction", (F.col("duplicate_score") >= threshold).cast("int"))
+    return metrics(scored, label, "prediction", by)

@@ -8,9 +8,9 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.functions import values as V
+from kindred.functions import names as N, similarity as S, values as V
 from kindred.operators.features import model_feature_columns
 
 #: A scorer adds ``duplicate_score`` to pairs with features.
@@ -62,6 +62,14 @@ def rule_scorer(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"duplicate_score": score, "duplicate_prediction": (score >= V.SCORE_THRESHOLD).cast("int")})
 
 
+def rule_may_match(a: str = "name_latin_1", b: str = "name_latin_2") -> Column:
+    """Without any edit ratio: whether ``rule_scorer`` can give a pair of names 0.9 or more. Only equal sorted tokens have a sorted-token ratio of 100."""
+    x, y = N.text(a), N.text(b)
+    s, t = N.tokens(x), N.tokens(y)
+    near = (F.abs(F.length(x) - F.length(y)) <= 5) & (S.jaccard(s, t) >= 0.75)
+    return (x == y) | (F.array_sort(s) == F.array_sort(t)) | near | (S.core_name(x) == S.core_name(y))
+
+
 def garbage_rule(pairs: DataFrame, score: str = "duplicate_score") -> DataFrame:
     return pairs.withColumn(score, F.when(F.col("has_garbage_entity") == 1, F.lit(0.0)).otherwise(F.col(score)))
 

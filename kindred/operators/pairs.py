@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred.functions import similarity as S, values as V
@@ -27,31 +29,54 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hashed(key, seed=seed), key).limit(n)
 
 
+def _numbered(rows: DataFrame, by: str, seed: int, salts: int = 64) -> DataFrame:
+    """``rows`` (idx, ..) with ``_at``, from 0 within each ``by`` in a repeatable order, and ``_m``, its rows. Rows are counted in salted parts first, so no key's rows are all in one task."""
+    part = rows.withColumn("_salt", F.pmod(hashed("idx", seed=seed), F.lit(salts)).cast("int"))
+    sizes = part.groupBy(by, "_salt").agg(F.count(F.lit(1)).alias("_k"))
+    ahead = sizes.withColumn("_before", F.sum("_k").over(Window.partitionBy(by).orderBy("_salt")) - F.col("_k")).withColumn("_m", F.sum("_k").over(Window.partitionBy(by))).drop("_k")
+    nth = F.row_number().over(Window.partitionBy(by, "_salt").orderBy(hashed("idx", seed=seed), "idx"))
+    return part.withColumn("_nth", nth).join(ahead, [by, "_salt"]).withColumn("_at", F.col("_nth") - 1 + F.col("_before")).drop("_salt", "_nth", "_before")
+
+
 def positive_pairs(records: DataFrame, trusted: DataFrame | None = None, label: str = "party_public_id", cap: int = 50, seed: int = 42) -> DataFrame:
-    """At most ``cap`` pairs of records for each label id.
+    """At most ``cap`` pairs of records for each label id, drawn from all pairs of its records.
 
-    A label with n records has n(n-1)/2 pairs, so pairs are never all made: each record is joined with its next neighbours in a repeatable random order, as many as
-    the cap can need. That gives every pair of labels with few records, and the cap for all others.
+    A label with m records has m(m-1)/2 pairs, so pairs are never all made: members are numbered, and pairs of numbers are drawn: all of them where there are at most 4 x cap, else 4 x cap, of which
+    ``cap`` distinct ones stay.
     """
     rows = records.where(F.col(label).isNotNull()).select("idx", F.col(label).alias("label_id"))
     if trusted is not None:
         rows = rows.join(trusted.select(F.col(trusted.columns[0]).alias("label_id")).distinct(), "label_id", "left_semi")
-    # The first members by hash are enough: m members have m(m-1)/2 >= cap pairs.
-    m = next(k for k in range(2, cap + 3) if k * (k - 1) // 2 >= cap)
-    order = Window.partitionBy("label_id").orderBy(hashed("idx", seed=seed), "idx")
-    few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= m).drop("_r")
-    pairs = few.withColumnRenamed("idx", "idx1").join(few.withColumnRenamed("idx", "idx2"), "label_id").where("idx1 < idx2")
-    nth = F.row_number().over(Window.partitionBy("label_id").orderBy(hashed("idx1", "idx2", seed=seed), "idx1", "idx2"))
-    return pairs.withColumn("_r", nth).where(F.col("_r") <= cap).select("idx1", "idx2", F.lit(1).alias("label"), F.lit("positive_same_public_id").alias("pair_type"))
+    members = _numbered(rows, "label_id", seed)
+    m, t, most = F.col("_m"), F.col("_t"), 4 * cap
+    all_ = m * (m - 1) / 2
+    asked = members.where("_at = 0 and _m > 1").select("label_id", "_m", F.explode(F.sequence(F.lit(0), F.least(all_, F.lit(float(most))).cast("int") - 1)).alias("_t"))
+    # Few: the t-th pair (i < j) in order of j. Many: two different members by hash.
+    j = F.floor((1 + F.sqrt(1 + 8.0 * t)) / 2).cast("long")
+    first = F.pmod(F.xxhash64("label_id", t, F.lit(seed)), m)
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("label_id", t, F.lit(seed + 1)), m - 1), m)
+    few = all_ <= most
+    drawn = asked.select("label_id", F.when(few, t - (j * (j - 1) / 2).cast("long")).otherwise(F.least(first, second)).alias("_i"), F.when(few, j).otherwise(F.greatest(first, second)).alias("_j")).distinct()
+    nth = F.row_number().over(Window.partitionBy("label_id").orderBy(hashed("_i", "_j", seed=seed), "_i", "_j"))  # at most 4 x cap rows
+    drawn = drawn.withColumn("_r", nth).where(F.col("_r") <= cap)
+    one = members.select("label_id", F.col("_at").alias("_i"), F.col("idx").alias("_a"))
+    two = members.select("label_id", F.col("_at").alias("_j"), F.col("idx").alias("_b"))
+    return drawn.join(one, ["label_id", "_i"]).join(two, ["label_id", "_j"]).select(F.least("_a", "_b").alias("idx1"), F.greatest("_a", "_b").alias("idx2"), F.lit(1).alias("label"), F.lit("positive_same_public_id").alias("pair_type"))
 
 
 def easy_negative_pairs(records: DataFrame, n: int = 100_000, label: str = "party_public_id", seed: int = 42) -> DataFrame:
-    """Random pairs of records of different labels: two hash orders of a sample beside each other, joined by position within hash buckets."""
+    """n random pairs of records of different labels (fewer only if there are hardly that many), the same each time.
+
+    Two hash orders of a sample stand beside each other in several offsets, joined by position within hash buckets; of the distinct pairs the first n by hash stay.
+    """
     rows = records.where(F.col(label).isNotNull()).select("idx", F.col(label).alias("label_id"))
     total = rows.count()
     share = min(1.0, 3.0 * n / max(total, 1))
     drawn = rows.where(F.pmod(hashed("idx", seed=seed + 1), F.lit(1 << 20)) < int(share * (1 << 20)))
     buckets = max(1, int(total * share) // 10_000)
+    same = rows.groupBy("label_id").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
+    differ = max(1.0 - same / max(total, 1) ** 2, 1e-3)  # how often two random rows have different labels
+    offsets = max(4, math.ceil(2.0 * n / max(total * share * differ, 1.0)))
 
     def side(salt: int, name: str) -> DataFrame:
         h = hashed("idx", seed=seed + salt)
@@ -59,8 +84,10 @@ def easy_negative_pairs(records: DataFrame, n: int = 100_000, label: str = "part
         at = F.row_number().over(Window.partitionBy("_b").orderBy(hashed("idx", seed=seed + salt + 10), "idx"))
         return part.select("_b", at.alias("_at"), F.col("idx").alias(f"idx{name}"), F.col("label_id").alias(f"l{name}"))
 
-    pairs = side(2, "1").join(side(3, "2"), ["_b", "_at"]).where("l1 <> l2").select("idx1", "idx2")
-    return pairs.limit(n).select("idx1", "idx2", F.lit(0).alias("label"), F.lit("easy_negative_different_public_id").alias("pair_type"))
+    moved = side(3, "2").withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(offsets - 1)), lambda k: F.col("_at") + k)))
+    pairs = side(2, "1").join(moved, ["_b", "_at"]).where("l1 <> l2").select(F.least("idx1", "idx2").alias("idx1"), F.greatest("idx1", "idx2").alias("idx2")).distinct()
+    some = pairs.orderBy(hashed("idx1", "idx2", seed=seed), "idx1", "idx2").limit(n)
+    return some.select("idx1", "idx2", F.lit(0).alias("label"), F.lit("easy_negative_different_public_id").alias("pair_type"))
 
 
 def hard_negative_pairs(
@@ -108,3 +135,12 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("label", "pair_type").agg(F.count(F.lit(1)).alias("pairs"))
     total = pairs.agg(F.count(F.lit(1)).alias("_all"))
     return counts.crossJoin(F.broadcast(total)).select("label", "pair_type", "pairs", F.round(100.0 * F.col("pairs") / F.col("_all"), 2).alias("percent"))
+
+
+def review_set(pairs: DataFrame, each: int = 150, label: str = "label", seed: int = 42) -> DataFrame:
+    """A balanced set for manual review: up to ``each`` pairs of either label in a repeatable random order, sides as left_ and right_ columns, and an empty manual_label."""
+    names = [c for c in pairs.columns if c not in (label, "idx1", "idx2")]
+    sides = {f"{c}_{k}": f"{side}_{c}" for c in V.PAIR_COLUMNS for k, side in (("1", "left"), ("2", "right"))}
+    some = [pairs.where(F.col(label) == y).orderBy(hashed("idx1", "idx2", seed=seed), "idx1", "idx2").limit(each) for y in (1, 0)]
+    rows = some[0].unionByName(some[1]).orderBy(hashed("idx1", "idx2", seed=seed + 1), "idx1", "idx2")
+    return rows.select(F.col(label).alias("label"), "idx1", "idx2", *(F.col(c).alias(sides.get(c, c)) for c in names), F.lit("").alias("manual_label"))

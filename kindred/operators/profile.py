@@ -65,8 +65,9 @@ def duplicate_groups(df: DataFrame, name: str) -> DataFrame:
 
 
 def spelling_variants(df: DataFrame, latin: str = "name_latin", original: str = "party_name") -> DataFrame:
-    """Distinct originals of each Latin name, as a count."""
-    return df.where(F.col(latin).isNotNull()).groupBy(latin).agg(F.count_distinct(original).alias("variants")).where("variants > 1")
+    """Distinct originals of each Latin name that has several: their number, and the originals themselves in order."""
+    each = df.where(F.col(latin).isNotNull() & F.col(original).isNotNull()).select(latin, original).distinct()
+    return each.groupBy(latin).agg(F.count(F.lit(1)).alias("variants"), F.sort_array(F.collect_list(original)).alias("originals")).where("variants > 1")
 
 
 def duplicate_flags(df: DataFrame, key: str) -> DataFrame:
@@ -112,31 +113,39 @@ def name_flags(df: DataFrame, name: str, forms: list[str] = ()) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in N.name_profile(name).items()), *(F.count_if(N.mentions(name, f)).alias(f"form_{f}") for f in forms))
 
 
-def tfidf_neighbours(df: DataFrame, key: str, text: str, k: int = 20, sizes: tuple[int, ...] = (2, 3, 4), least_df: int = 2, most_df: int = 1000) -> DataFrame:
-    """key, other, cosine of the k nearest texts by TF-IDF over character n-grams within words, padded by a space.
+def tfidf_neighbours(df: DataFrame, key: str, text: str, k: int = 20, sizes: tuple[int, ...] = (2, 3, 4), queries: DataFrame | None = None) -> DataFrame:
+    """key, other, cosine of the k nearest texts of each of ``queries`` (rows of ``df``; all of them by default) by TF-IDF over character n-grams within words, padded by a space.
 
-    Texts meet only over shared grams of a document frequency between the bounds: a gram that more texts have tells little, as do its pairs.
+    All grams count, in weights and norms. Texts meet over shared grams, so a large table needs a stated query set: the work is that of the queries' grams times their postings. Ties by key.
     """
     words = N.tokens(F.lower(N.text(text)))
 
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))) for n in sizes)))  # noqa: B023
+        all_ = []
+        for at, n in enumerate(sizes):  # a word no longer than n is one gram, and gives none of the larger sizes
+            each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))  # noqa: B023
+            all_.append(each if not at else F.when(F.length(padded) > sizes[at - 1], each).otherwise(F.array().cast("array<string>")))
+        return F.flatten(F.array(*all_))
 
     rows = df.select(F.col(key).alias("a"), F.explode(F.flatten(F.transform(words, grams))).alias("g")).groupBy("a", "g").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.count()
-    weights = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least_df, most_df)).withColumn("idf", F.log((1.0 + n) / (1 + F.col("df"))) + 1)
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    weights = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).crossJoin(total).select("g", (F.log((1.0 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     told = rows.join(weights, "g").select("a", "g", (F.col("tf") * F.col("idf")).alias("w"))
     norms = told.groupBy("a").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = told.join(norms, "a").select("a", "g", (F.col("w") / F.col("norm")).alias("w"))
-    scores = unit.join(unit.select(F.col("a").alias("b"), "g", F.col("w").alias("v")), "g").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    asked = unit if queries is None else unit.join(queries.select(F.col(key).alias("a")).distinct(), "a", "left_semi")
+    scores = asked.join(unit.select(F.col("a").alias("b"), "g", F.col("w").alias("v")), "g").where("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("cosine"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     return scores.withColumn("_r", nth).where(F.col("_r") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine")
 
 
 def vector_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """The k vectors of highest cosine for each of a few query vectors (a stated set, broadcast); ties by key."""
+    """The k vectors of highest cosine for each of a stated set of query vectors; ties by key.
+
+    Whether the queries are broadcast or meet the vectors block by block is left to Spark, which knows their size.
+    """
     few = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    near = df.join(F.broadcast(few), F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), S.cosine(F.col("_q"), F.col(vector)).alias("cosine"))
+    near = df.join(few, F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), S.cosine(F.col("_q"), F.col(vector)).alias("cosine"))
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "other"))
     return near.withColumn("_r", nth).where(F.col("_r") <= k).select("query", "other", "cosine")

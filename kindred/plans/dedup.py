@@ -10,18 +10,20 @@ from kindred.plans.scratch import Scratch
 from kindred.sources import tables as S
 
 
-def scored_pairs(records: DataFrame, scorer: M.Scorer = M.rule_scorer, passes: list[str] | None = None, max_block_size: int = V.MAX_BLOCK_SIZE, threshold: float = 0.5, within: list[str] = ()) -> DataFrame:
-    """All candidate pairs of processed records with features, score and decision; pairs with garbage score 0."""
+def scored_pairs(records: DataFrame, scorer: M.Scorer = M.rule_scorer, passes: list[str] | None = None, max_block_size: int = V.MAX_BLOCK_SIZE, threshold: float = 0.5, within: list[str] = (), least: float = 0.0) -> DataFrame:
+    """Candidate pairs of processed records with features, score and decision; pairs with garbage score 0. Pairs that surely score below ``least`` may be left out."""
     keyed = B.make_block_keys(records)
     candidates = B.candidate_pairs(keyed, passes, max_block_size, within)
     flagged = records.withColumn("is_garbage", N.is_garbage("party_name"))
     pairs = J.attach_records(candidates, flagged, [*V.PAIR_COLUMNS, "is_garbage"])
+    if least >= 0.9 and scorer is M.rule_scorer:  # edit ratios of pairs that can't reach it are never computed
+        pairs = pairs.where(M.rule_may_match())
     return M.decided(M.garbage_rule(scorer(P.pair_features(pairs))), threshold)
 
 
 def duplicate_edges(records: DataFrame, scorer: M.Scorer = M.rule_scorer, passes: list[str] | None = None, max_block_size: int = V.MAX_BLOCK_SIZE, threshold: float = V.SCORE_THRESHOLD, by_country: bool = True) -> DataFrame:
     """The three columns that clustering reads. With ``by_country`` records of different countries never meet."""
-    pairs = scored_pairs(records, scorer, passes, max_block_size, threshold, ["country"] if by_country else [])
+    pairs = scored_pairs(records, scorer, passes, max_block_size, threshold, ["country"] if by_country else [], threshold)
     return M.deduplicate_edges(pairs.where(F.col("duplicate_score") >= threshold).select("idx1", "idx2", "duplicate_score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kindred.functions import names as N, similarity as S, values as V
 from kindred.operators import augment as A, blocking as B, cleaning as C, entities as E, evaluate as M, features as P, labels as L, matcher as X, pairs as J, profile as R
 from kindred.plans import dedup
+from kindred.plans.scratch import Scratch
 from kindred.plans.service import Engine
 from kindred.sources import tables as T
 
@@ -67,6 +68,10 @@ def _lcs(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE ({rows})[length({b}) + 1] END)"
 
 
+def _raw(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
 def _ratio(a: str, b: str) -> str:
     return f"round(CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END, 6)"
 
@@ -74,7 +79,7 @@ def _ratio(a: str, b: str) -> str:
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of the few distinct names of ``part``."""
     n = records(spark, sf).select(F.col("name_latin").alias("a")).distinct()
-    return n.join(F.broadcast(n.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))
+    return n.join(n.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
 
 
 # --- queries ---------------------------------------------------------------------------------------------------------------------
@@ -329,7 +334,7 @@ def duplicate_groups(spark, sf):
 
 def spelling_variants(spark, sf):
     rows = records(spark, sf).withColumn("party_name", F.when(F.col("idx") % 2 == 0, F.upper("party_name")).otherwise(F.col("party_name")))
-    return R.spelling_variants(rows)
+    return R.spelling_variants(rows).withColumn("originals", F.concat_ws("|", "originals"))
 
 
 def name_flags(spark, sf):
@@ -410,27 +415,92 @@ def embedding_topk(spark, sf):
 
 
 def tfidf_topk(spark, sf):
-    return _rounded(R.tfidf_neighbours(table(spark, sf, "part").select(F.col("p_name")).distinct(), "p_name", "p_name", most_df=50))
+    return _rounded(R.tfidf_neighbours(table(spark, sf, "part").select(F.col("p_name")).distinct(), "p_name", "p_name"))
 
 
 def search_topk(spark, sf):
     return _rounded(Engine(spark, records(spark, sf)).search({"party_name": "widget red", "country": "Brand#1"}, 5))
 
 
-def forest_scores(spark, sf):
-    """A small forest trained on labelled pairs, applied to the candidates of each country."""
+def _mutated_parts(spark, sf):
+    """Records with misspelt names; the label is the name before, which no feature reads."""
     rows = records(spark, sf)
-    truth = J.attach_records(B.candidate_pairs(B.make_block_keys(rows), ["block_first_token_4"], within=["country"]), rows)
-    told = P.pair_features(truth).withColumn("label", F.col("core_exact_match"))
-    model = X.train_random_forest(told, trees=20, depth=6)
-    return X.garbage_rule(X.model_scorer(model)(P.pair_features(_country_pairs(spark, sf)))).select("idx1", "idx2", "duplicate_score", "duplicate_prediction")
+    spelt = rows.withColumns({"party_public_id": F.concat_ws("-", "party_name", "country"), "name_latin": A.mutated("name_latin", "idx", A.POSITIVE_EARLIER)})
+    return spelt.withColumns({"party_name": F.col("name_latin"), "name_latin": F.lower("name_latin")})
+
+
+def _labelled_pairs(spark, sf) -> DataFrame:
+    """Positive, easy and hard pairs with features and the split of their entity group."""
+    rows = _mutated_parts(spark, sf)
+    pairs = J.positive_pairs(rows).unionByName(J.easy_negative_pairs(rows, 2000)).unionByName(J.hard_negative_pairs(rows, threshold=60, most=3000).drop("name_similarity"))
+    beside = J.split_by_group(J.remove_duplicate_pairs(J.attach_records(pairs, rows)).withColumn("entity_group", J.entity_group()))
+    return Scratch(spark, "labelled").cut(P.pair_features(beside))
+
+
+def _model(rows, kind):
+    told = rows.where("split = 'train'")
+    return X.model_scorer(X.train_random_forest(told, trees=20, depth=6) if kind == "forest" else X.train_logistic_regression(told))
+
+
+def forest_scores(spark, sf):
+    """Test pairs scored by a forest that was trained on the pairs of other entities."""
+    rows = _labelled_pairs(spark, sf)
+    return X.garbage_rule(_model(rows, "forest")(rows.where("split = 'test'"))).select("idx1", "idx2", "pair_type", "label", "duplicate_score", "duplicate_prediction")
 
 
 def logistic_scores(spark, sf):
+    rows = _labelled_pairs(spark, sf)
+    return X.garbage_rule(_model(rows, "logistic")(rows.where("split = 'test'"))).select("idx1", "idx2", "pair_type", "label", "duplicate_score", "duplicate_prediction")
+
+
+def model_metrics(spark, sf):
+    """Both models and the rule on the test pairs, by pair type."""
+    rows = _labelled_pairs(spark, sf)
+    test, out = rows.where("split = 'test'"), None
+    for name, scorer, threshold in (("forest", _model(rows, "forest"), 0.5), ("logistic", _model(rows, "logistic"), 0.5), ("rule", X.rule_scorer, V.SCORE_THRESHOLD)):
+        one = M.evaluate_model(test, scorer, threshold, by=["pair_type"]).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
+def wrong_pairs(spark, sf):
+    """Labels that the score of text lengths decides wrongly."""
+    return M.wrong_pairs(_scored_labels(spark, sf)).groupBy("lang", "mistake").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_set(spark, sf):
+    """At most 40 labelled pairs of either class for manual review."""
     rows = records(spark, sf)
-    truth = J.attach_records(B.candidate_pairs(B.make_block_keys(rows), ["block_first_token_4"], within=["country"]), rows)
-    model = X.train_logistic_regression(P.pair_features(truth).withColumn("label", F.col("core_exact_match")))
-    return X.garbage_rule(X.model_scorer(model)(P.pair_features(_country_pairs(spark, sf)))).select("idx1", "idx2", "duplicate_score", "duplicate_prediction")
+    pairs = J.attach_records(J.positive_pairs(rows).unionByName(J.easy_negative_pairs(rows, 500)), rows)
+    return J.review_set(pairs, 40).select("label", "idx1", "idx2", "left_name_latin", "right_name_latin", "manual_label")
+
+
+#: Names in other scripts, with legal forms, garbage and odd signs.
+CASES = [
+    "Михайлов Сергей", "Йосиф Ёлкин", "Ömer Şahin LLC", "ООО «Ромашка» №5", "և ու", "ՍՊԸ Արմեն", "Kəmalə ı", "foo_bar 2²", " A.B. ", "unknown", "Замените  на имя", "согласно списку", "Анна ТОО", "Acme Trade Ltd", "Acme Trade", "12345", "ანა", "",
+]
+
+
+def name_cases(spark, sf):
+    """The whole chain from a raw name to its Latin spelling, on names that the tables lack."""
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(CASES)], "k long, name string")
+    plain = N.normalize_text("name")
+    return rows.select("k", plain.alias("normalized"), N.remove_legal_forms(plain).alias("no_legal"), N.transliterate(plain).alias("latin"), N.detect_script("name").alias("script"), N.is_garbage("name").cast("int").alias("garbage"))
+
+
+def pair_cases(spark, sf):
+    """Legal-form, core and garbage features of pairs that have such cases."""
+    sides = [("acme trade ltd", "acme trade"), ("acme ltd", "acme llc"), ("ooo romashka", "romashka ooo"), ("petrov ivan", "ivan petrov"), ("a", ""), ("too x", "ao x")]
+    rows = spark.createDataFrame([(k, a, b, a, "unknown" if k == 4 else b, "arm", "arm" if k % 2 else "kaz") for k, (a, b) in enumerate(sides)], "k long, name_latin_1 string, name_latin_2 string, party_name_1 string, party_name_2 string, country_1 string, country_2 string")
+    return _rounded(P.pair_features(rows).select("k", "has_legal_form_1", "has_legal_form_2", "same_legal_form", "exact_match", "core_exact_match", "token_jaccard", "same_country", "is_garbage_2", "has_garbage_entity"))
+
+
+def chain_clusters(spark, sf):
+    """Entities of chains longer than two, a star and a loner, whatever the order of their edges."""
+    edges = [(4, 3), (1, 2), (3, 2), (7, 9), (9, 8), (12, 10), (12, 11), (20, 21)]
+    rows = spark.createDataFrame([(a, b, 0.5 if a == 20 else 0.95) for a, b in edges], "idx1 long, idx2 long, duplicate_score double")
+    records_ = spark.range(1, 23).select(F.col("id").alias("idx"), F.lit("x").alias("name_latin"))
+    return E.attach_clusters(records_, E.build_clusters(E.duplicate_edges(rows, 0.9), Scratch(spark, "chains"))).select("idx", "entity_id", F.col("cluster_size").cast("long").alias("cluster_size"))
 
 
 def conformed(spark, sf):
@@ -445,7 +515,7 @@ QUERIES = {f.__name__: f for f in (
     confident_edges, canonical_entities, cluster_stats, suspicious_clusters, size_distribution, final_summary, label_id_stats, trusted_ids, label_similarity, null_profile, fill_rates, crosstab,
     value_share, top_values, group_profile, date_span, longest_spans, duplicate_flag, year_counts, numeric_profile, value_histogram, grouped_describe, size_buckets, size_profile, variation, shared_names,
     duplicate_groups, spelling_variants, name_flags, positive_pairs, easy_negatives, hard_negatives, pair_groups, augmented_pairs, banded_pairs, similar_names, confusion, threshold_sweep, metrics_by_type,
-    roc_auc, roc_curve, error_summary, error_categories, embedding_topk, tfidf_topk, search_topk, forest_scores, logistic_scores, conformed,
+    roc_auc, roc_curve, error_summary, error_categories, embedding_topk, tfidf_topk, search_topk, forest_scores, logistic_scores, model_metrics, wrong_pairs, review_set, name_cases, pair_cases, chain_clusters, conformed,
 )}
 
 # --- SQL -------------------------------------------------------------------------------------------------------------------------
@@ -480,15 +550,19 @@ good AS (SELECT country, p, k FROM pass GROUP BY ALL HAVING count(*) BETWEEN 2 A
 cand AS (SELECT DISTINCT a.idx AS idx1, b.idx AS idx2 FROM pass a JOIN good USING (country, p, k) JOIN pass b USING (country, p, k) WHERE a.idx < b.idx),
 pr AS (SELECT idx1, idx2, x.nm AS a, y.nm AS b, x.kind AS k1, y.kind AS k2, x.role AS r1, y.role AS r2, list_distinct(string_split(x.nm, ' ')) AS s, list_distinct(string_split(y.nm, ' ')) AS t,
   len(string_split(x.nm, ' ')) AS c1, len(string_split(y.nm, ' ')) AS c2 FROM cand JOIN rec x ON x.idx = idx1 JOIN rec y ON y.idx = idx2)"""
-_SET = f"""WITH {_REC}, {_NAMES}, w AS (
+_SET_PARTS = f"""w AS (
   SELECT a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM np),
 d AS (SELECT a, b, array_to_string(list_sort(list_filter(x, lambda q: list_contains(y, q))), ' ') AS i, array_to_string(list_sort(list_filter(x, lambda q: NOT list_contains(y, q))), ' ') AS lft,
   array_to_string(list_sort(list_filter(y, lambda q: NOT list_contains(x, q))), ' ') AS rgt FROM w),
 z AS (SELECT *, CASE WHEN i = '' THEN 0 ELSE 1 END AS g FROM d),
 n AS (SELECT *, length(i) + g + length(lft) AS n1, length(i) + g + length(rgt) AS n2 FROM z),
-f AS (SELECT *, 100.0 * (1 - (length(lft) + length(rgt) - 2 * {_lcs('lft', 'rgt')}) / (n1 + n2)) AS r0 FROM n)
-SELECT a, b, round(CASE WHEN i <> '' AND (lft = '' OR rgt = '') THEN 100.0 WHEN i = '' THEN r0
-  ELSE greatest(r0, 100.0 * (1 - (g + length(lft)) / (length(i) + n1)), 100.0 * (1 - (g + length(rgt)) / (length(i) + n2))) END, 6) AS token_set_ratio FROM f"""
+f AS (SELECT *, 100.0 * (1 - (length(lft) + length(rgt) - 2 * {_lcs('lft', 'rgt')}) / (n1 + n2)) AS r0 FROM n),
+sets AS (SELECT a, b, CASE WHEN i <> '' AND (lft = '' OR rgt = '') THEN 100.0 WHEN i = '' THEN r0
+  ELSE greatest(r0, 100.0 * (1 - (g + length(lft)) / (length(i) + n1)), 100.0 * (1 - (g + length(rgt)) / (length(i) + n2))) END AS token_set_ratio FROM f)"""
+_SET = f"WITH {_REC}, {_NAMES}, {_SET_PARTS} SELECT a, b, round(token_set_ratio, 6) AS token_set_ratio FROM sets"
+#: Sorted-token ratio of all pairs of distinct names, a < b.
+_SORTED = f"""so AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM np),
+sim AS (SELECT a, b, {_raw('a', 'b')} AS plain, {_raw('x', 'y')} AS sorted FROM so)"""
 
 SQL = {
     "entity_clusters": f"WITH {_CLUSTER} SELECT idx, entity_id, cluster_size::INT AS cluster_size, canonical_name FROM dedup",
@@ -555,7 +629,7 @@ u AS (SELECT n, unnest(['event_id', 'user_id', 'event_type', 'value']) AS "colum
     "variation": "SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS unique_o_orderstatus, count(DISTINCT o_orderpriority) AS unique_o_orderpriority FROM orders GROUP BY 1 HAVING count(*) >= 2",
     "shared_names": "SELECT p_name, count(DISTINCT p_brand) AS keys FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "duplicate_groups": f"WITH {_REC} SELECT nm AS name_latin, count(*) AS n FROM rec GROUP BY 1 HAVING count(*) > 1",
-    "spelling_variants": f"WITH {_REC} SELECT nm AS name_latin, count(DISTINCT CASE WHEN idx % 2 = 0 THEN upper(party_name) ELSE party_name END) AS variants FROM rec GROUP BY 1 HAVING count(DISTINCT CASE WHEN idx % 2 = 0 THEN upper(party_name) ELSE party_name END) > 1",
+    "spelling_variants": f"WITH {_REC}, v AS (SELECT DISTINCT nm AS name_latin, CASE WHEN idx % 2 = 0 THEN upper(party_name) ELSE party_name END AS o FROM rec) SELECT name_latin, count(*) AS variants, string_agg(o, '|' ORDER BY o) AS originals FROM v GROUP BY 1 HAVING count(*) > 1",
     "name_flags": r"SELECT count(*) AS n, count(*) FILTER (upper(c_name) = c_name AND lower(c_name) <> c_name) AS is_upper, count(*) FILTER (regexp_matches(c_name, '\d')) AS has_digits, count(*) FILTER (regexp_matches(c_name, '[^\w\s]')) AS has_special, 0::BIGINT AS has_initials, count(*) FILTER (c_name ILIKE '%customer%') AS form_customer, count(*) FILTER (c_name ILIKE '%llc%') AS form_llc FROM customer",
     "confusion": f"WITH {_QUALITY} SELECT label::INT AS actual, count(*) FILTER (prediction = 0) AS predicted_0, count(*) FILTER (prediction = 1) AS predicted_1 FROM s GROUP BY 1",
     "threshold_sweep": f"WITH {_QUALITY}, g AS (SELECT 'score' AS method, t AS threshold, label, (score >= t)::INT AS prediction FROM s, (SELECT round(0.1 + 0.05 * k, 2)::DOUBLE AS t FROM range(18) r(k))), c AS (SELECT method, threshold, {_COUNTS} FROM g GROUP BY 1, 2) SELECT method, threshold, {_METRICS} FROM c",
@@ -567,5 +641,36 @@ SELECT score, round(tp / ap, 6)::DOUBLE AS tpr, round(fp / an, 6)::DOUBLE AS fpr
     "error_summary": f"WITH {_QUALITY} SELECT count(*) AS pairs, count(*) FILTER (label <> prediction) AS errors, count(*) FILTER (label = 0 AND prediction = 1) AS false_positives, count(*) FILTER (label = 1 AND prediction = 0) AS false_negatives, round(count(*) FILTER (label <> prediction) / count(*), 6) AS error_rate FROM s",
     "embedding_topk": """WITH n AS (SELECT q.vec_id AS query, e.vec_id AS other, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, other) AS k FROM n) SELECT query, other, round(c, 6) AS cosine FROM r WHERE k <= 10""",
+    "label_similarity": f"""WITH {_REC}, {_NAMES}, {_SORTED}, n AS (SELECT label, nm, min(idx) AS pos FROM rec GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos, nm) AS k FROM n),
+p AS (SELECT x.label, sorted FROM r x JOIN r y ON x.label = y.label AND x.k < y.k AND y.k <= 20 JOIN sim ON a = least(x.nm, y.nm) AND b = greatest(x.nm, y.nm)),
+m AS (SELECT label, avg(sorted) AS g, min(sorted) AS l FROM p GROUP BY 1)
+SELECT q.label AS party_public_id, round(coalesce(g, 100.0), 6)::DOUBLE AS avg_name_similarity, round(coalesce(l, 100.0), 6)::DOUBLE AS min_name_similarity FROM (SELECT DISTINCT label FROM rec) q LEFT JOIN m USING (label)""",
+    "similar_names": f"WITH {_REC}, {_NAMES}, {_SORTED} SELECT a AS name_1, b AS name_2, round(sorted, 6)::DOUBLE AS similarity FROM sim WHERE sorted >= 80",
+    "hard_negatives": f"""WITH {_REC}, {_NAMES}, {_SORTED}, w AS (SELECT idx, label, nm, substr(nm, 1, 3) AS k FROM rec), good AS (SELECT k FROM w GROUP BY 1 HAVING count(*) <= 500),
+p AS (SELECT x.idx AS idx1, y.idx AS idx2, CASE WHEN x.nm = y.nm THEN 100.0 ELSE sorted END AS s FROM w x JOIN good USING (k) JOIN w y USING (k) LEFT JOIN sim ON a = least(x.nm, y.nm) AND b = greatest(x.nm, y.nm) WHERE x.idx < y.idx AND x.label <> y.label)
+SELECT idx1, idx2, 0 AS label, 'hard_negative_similar_name' AS pair_type, round(s, 6)::DOUBLE AS name_similarity FROM p WHERE s >= 80 ORDER BY idx1, idx2 LIMIT 100000""",
+    "baseline_scores": f"""WITH {_PAIRED}, {_NAMES}, {_SORTED}, {_SET_PARTS}, e AS (SELECT * FROM sim JOIN sets USING (a, b))
+SELECT idx1, idx2, (pr.a = pr.b)::INT AS baseline_exact, round(coalesce(plain, 100.0), 6)::DOUBLE AS baseline_ratio, round(coalesce(sorted, 100.0), 6)::DOUBLE AS baseline_token_sort, round(coalesce(token_set_ratio, 100.0), 6)::DOUBLE AS baseline_token_set
+FROM pr LEFT JOIN e ON e.a = least(pr.a, pr.b) AND e.b = greatest(pr.a, pr.b)""",
+    "banded_pairs": f"""WITH {_REC}, n AS (SELECT nm, min(idx) AS idx FROM rec GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY nm, idx) AS pos FROM n),
+p AS (SELECT x.idx AS idx1, y.idx AS idx2, 1 - levenshtein(x.nm, y.nm) / greatest(length(x.nm), length(y.nm), 1) AS s FROM o x JOIN o y ON y.pos > x.pos AND y.pos - x.pos <= 199) SELECT idx1, idx2, round(s, 6) AS similarity FROM p WHERE s > 0.6""",
+    "tfidf_topk": """WITH n AS (SELECT DISTINCT p_name AS a FROM part), w AS (SELECT a, ' ' || unnest(string_split(lower(a), ' ')) || ' ' AS w FROM n), k AS (SELECT a, w, unnest([2, 3, 4]) AS k FROM w),
+g AS (SELECT a, substr(w, unnest(range(1, length(w) - k + 2))::INT, k) AS g FROM k WHERE length(w) >= k), tf AS (SELECT a, g, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT g, count(*) AS df FROM tf GROUP BY 1),
+t AS (SELECT a, g, tf * (ln((1.0 + (SELECT count(*) FROM n)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g)), u AS (SELECT a, g, w / sqrt(sum(w * w) OVER (PARTITION BY a)) AS w FROM t),
+c AS (SELECT x.a, y.a AS b, round(sum(x.w * y.w), 9) AS c FROM u x JOIN u y USING (g) WHERE x.a <> y.a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c)
+SELECT a AS p_name, b AS other, round(c, 6) AS cosine FROM r WHERE k <= 20""",
+    "wrong_pairs": f"WITH {_QUALITY} SELECT lang, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS mistake, count(*) AS n FROM s WHERE label <> prediction GROUP BY 1, 2",
+    # Worked out by hand from the rules: marks split words, digits go, legal forms go before transliteration only.
+    "name_cases": """SELECT * FROM (VALUES
+  (0::BIGINT, 'михаи лов сергеи', 'михаи лов сергеи', 'mihai lov sergei', 'cyrillic', 0), (1, 'и осиф е лкин', 'и осиф е лкин', 'i osif e lkin', 'cyrillic', 0), (2, 'o mer s ahin llc', 'o mer s ahin', 'o mer s ahin llc', 'latin', 0),
+  (3, 'ооо ромашка no', 'ромашка no', 'ooo romashka no', 'cyrillic', 0), (4, 'եւ ու', 'եւ ու', 'eu ou', 'armenian', 0), (5, 'սպը արմեն', 'սպը արմեն', 'spy armen', 'armenian', 0), (6, 'kəmalə ı', 'kəmalə ı', 'kemale i', 'latin', 0),
+  (7, 'foo_bar', 'foo_bar', 'foo_bar', 'latin', 0), (8, 'a b', 'a b', 'a b', 'latin', 0), (9, 'unknown', 'unknown', 'unknown', 'latin', 1), (10, 'замените на имя', 'замените на имя', 'zamenite na imya', 'cyrillic', 1),
+  (11, 'согласно списку', 'согласно списку', 'soglasno spisku', 'cyrillic', 1), (12, 'анна тоо', 'анна тоо', 'anna too', 'cyrillic', 0), (13, 'acme trade ltd', 'acme trade', 'acme trade ltd', 'latin', 0),
+  (14, 'acme trade', 'acme trade', 'acme trade', 'latin', 0), (15, '', '', '', 'unknown', 0), (16, 'ანა', 'ანა', 'ანა', 'georgian', 0), (17, '', '', '', 'unknown', 1)) t(k, normalized, no_legal, latin, script, garbage)""",
+    "pair_cases": """SELECT k, a AS has_legal_form_1, b AS has_legal_form_2, c AS same_legal_form, 0 AS exact_match, d AS core_exact_match, j::DOUBLE AS token_jaccard, k::INT % 2 AS same_country, g AS is_garbage_2, g AS has_garbage_entity FROM (VALUES
+  (0::BIGINT, 1, 0, 0, 1, 0.666667, 0), (1, 1, 1, 0, 1, 0.333333, 0), (2, 1, 1, 1, 1, 1.0, 0), (3, 0, 0, 1, 0, 1.0, 0), (4, 0, 0, 1, 0, 0.0, 1), (5, 1, 1, 0, 1, 0.333333, 0)) t(k, a, b, c, d, j, g)""",
+    "chain_clusters": """WITH RECURSIVE e(a, b) AS (VALUES (4, 3), (1, 2), (3, 2), (7, 9), (9, 8), (12, 10), (12, 11)), r(n, m) AS (SELECT x, x FROM range(1, 23) t(x) UNION SELECT r.n, CASE WHEN r.m = e.a THEN e.b ELSE e.a END FROM r JOIN e ON r.m IN (e.a, e.b)),
+c AS (SELECT n, min(m) AS l FROM r GROUP BY 1), z AS (SELECT l, count(*) AS k, dense_rank() OVER (ORDER BY count(*) = 1, l) - 1 AS o FROM c GROUP BY 1)
+SELECT n::BIGINT AS idx, CASE WHEN k = 1 THEN 'single_' || n ELSE 'entity_' || lpad(o::VARCHAR, 8, '0') END AS entity_id, k AS cluster_size FROM c JOIN z USING (l)""",
     "conformed": "SELECT s_suppkey::BIGINT AS idx, s_suppkey::VARCHAR AS record_id, s_name AS party_name, NULL::VARCHAR AS country, NULL::DOUBLE AS ownership_share_pct FROM supplier",
 }

@@ -177,7 +177,7 @@ def test_training_pairs(spark, people):
     assert groups.groupBy("entity_group").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert J.pair_summary(pairs).count() == 2
     names = spark.createDataFrame([("a b",), ("a b c",), ("a b c d",), (None,)], "s string")
-    assert [r[0] for r in names.select(A.without_patronymic("s")).collect()] == ["a b", "a b", "a b c", ""]
+    assert [r[0] for r in names.select(A.drop_patronymic(F.coalesce("s", F.lit("")))).collect()] == ["a b", "a b", "a b c", ""]
 
 
 def test_labels(spark):
@@ -230,3 +230,45 @@ def test_stream(spark, people, tmp_path):
     ingest.stream_matches(spark, str(tmp_path / "in"), B.make_block_keys(people), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["idx"] for r in got} == {77} and {r["idx_known"] for r in got} >= {1, 2, 3, 4}
+
+
+def test_mutations(spark):
+    df = spark.createDataFrame([(k, n) for k in range(60) for n in ("ivan petrov llc", "abc", "қам ҳоз", "one two three", "", None)], "k long, s string")
+    at = lambda f: {(r[0], r[1] or ""): r[2] for r in df.select("k", "s", f(F.coalesce("s", F.lit("")), F.col("k"))).collect()}
+    for (_, s), got in at(A.delete_char).items():
+        assert got == s if len(s) <= 3 else got in {s[:i] + s[i + 1 :] for i in range(len(s))}
+    for (_, s), got in at(A.swap_chars).items():
+        assert got == s if len(s) <= 3 else got in {s[:i] + s[i + 1] + s[i] + s[i + 2 :] for i in range(len(s) - 1)}
+    assert {g for (_, s), g in at(A.national_char).items() if s == "қам ҳоз"} == {"kам ҳоз", "қам hоз"} and {g for (_, s), g in at(A.national_char).items() if s == "abc"} == {"abc"}
+    assert {g for (_, s), g in at(A.swap_words).items() if s == "one two three"} == {"two one three", "three two one", "one three two"}
+    assert {g for (_, s), g in at(A.drop_word).items() if s == "one two three"} == {"two three", "one three", "one two"} and {g for (_, s), g in at(A.drop_word).items() if s == "abc"} == {"abc"}
+    assert {g for (_, s), g in at(A.drop_legal_form).items() if s == "ivan petrov llc"} == {"ivan petrov"}
+    assert {g for (_, s), g in at(A.change_case).items() if s == "abc"} == {"ABC", "Abc"} and {g for (_, s), g in at(A.add_legal_form).items() if s == ""} == {""}
+    assert len({g for (_, s), g in at(A.add_suffix).items() if s == "abc"}) == 12
+    out = df.select(A.mutated("s", "k", A.POSITIVE)).collect()
+    assert all(r[0] is not None for r in out) and len({r[0] for r in out}) > 20
+
+
+def test_pairs_of_all_members(spark):
+    rows = spark.range(3000).select(F.col("id").alias("idx"), F.when(F.col("id") < 2900, "hot").when(F.col("id") < 2905, "five").otherwise(F.col("id").cast("string")).alias("party_public_id"))
+    got = J.positive_pairs(rows).collect()
+    five = {(r["idx1"], r["idx2"]) for r in got if r["idx1"] >= 2900}
+    hot = [(r["idx1"], r["idx2"]) for r in got if r["idx1"] < 2900]
+    assert five == {(a, b) for a in range(2900, 2905) for b in range(a + 1, 2905)} and len(set(hot)) == 50 and len({x for p in hot for x in p}) > 80
+    assert J.easy_negative_pairs(rows, 500).distinct().count() == 500
+
+
+def test_review_set(spark):
+    rows = spark.createDataFrame([(k, k + 1, int(k % 3 == 0), f"a{k}", f"b{k}") for k in range(100)], "idx1 long, idx2 long, label int, name_latin_1 string, name_latin_2 string")
+    some = J.review_set(rows, 20)
+    assert {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 20, 1: 20}
+    assert {"left_name_latin", "right_name_latin", "manual_label"} <= set(some.columns) and J.review_set(rows, 50).count() == 84
+
+
+def test_rule_prefilter_loses_nothing(spark):
+    rng = random.Random(3)
+    names = [" ".join(rng.choice(("anna", "ivan", "llc", "petrov", "ivanov", "too", "x")) for _ in range(rng.randint(0, 5))) for _ in range(90)]
+    rows = spark.createDataFrame(list(enumerate(names)), "i long, n string")
+    pairs = rows.select(F.col("n").alias("name_latin_1"), "i").crossJoin(rows.select(F.col("n").alias("name_latin_2"), F.col("i").alias("j"))).where("i < j")
+    scored = X.rule_scorer(P.text_features(pairs)).withColumn("may", X.rule_may_match())
+    assert scored.where("duplicate_score >= 0.9 and not may").count() == 0 and scored.where("not may").count() > 100
