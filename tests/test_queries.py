@@ -4,9 +4,10 @@ import os
 import duckdb
 import pytest
 
-from kindred import queries as Q
+from kindred import queries as Q, service_queries as V
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = {**Q.QUERIES, **V.QUERIES}, {**Q.SQL, **V.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -17,21 +18,21 @@ def base():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n in Q.SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_same_as_sql(spark, base, name):
-    got, want = Q.QUERIES[name](spark, SF).toPandas(), base.sql(Q.SQL[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), base.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n not in Q.SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_runs(spark, name):
-    assert Q.QUERIES[name](spark, SF).toPandas().shape[1] > 0
+    assert QUERIES[name](spark, SF).toPandas().shape[1] > 0
 
 
 def test_every_sql_has_a_query():
-    assert set(Q.SQL) <= set(Q.QUERIES)
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_models_learn(spark):
