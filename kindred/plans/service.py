@@ -27,9 +27,13 @@ class Engine:
     def status(self) -> dict[str, Any]:
         return {"status": "ok", "endpoints": ["search", "check_duplicate", "deduplicate_batch"], "records": 0 if self.index is None else self.index.where(F.col("block_col") == V.BLOCK_COLUMNS[0]).count()}
 
+    def _records(self, records: list[dict[str, Any]]) -> DataFrame:
+        """A few records in memory, processed, in one partition: idx -1, -2, .."""
+        rows = S.rows_table(self.spark, records).coalesce(1).withColumn("idx", -1 - F.monotonically_increasing_id())
+        return C.preprocess_names(C.add_script(rows))
+
     def _query(self, record: dict[str, Any]) -> DataFrame:
-        row = S.rows_table(self.spark, [record]).coalesce(1).withColumn("idx", F.lit(-1).cast("long"))
-        return B.make_block_keys(C.preprocess_names(C.add_script(row)))
+        return B.make_block_keys(self._records([record]))
 
     def _scored(self, pairs: DataFrame) -> DataFrame:
         return M.garbage_rule(self.scorer(P.pair_features(pairs)))
@@ -56,9 +60,10 @@ class Engine:
         return scored.orderBy(F.desc("similarity_score"), "idx2").limit(top_k).select(*have, *extra)
 
     def check_duplicate(self, first: dict[str, Any], second: dict[str, Any], threshold: float = V.SCORE_THRESHOLD) -> dict[str, Any]:
-        a, b = (self._query(r) for r in (first, second))
-        sides = [df.select(*(F.col(c).alias(f"{c}_{k}") for c in V.PAIR_COLUMNS)) for k, df in (("1", a), ("2", b))]
-        score = self._scored(sides[0].crossJoin(sides[1])).first()["duplicate_score"]
+        # Both records in one row, so that they are processed once and no join is planned.
+        both = self._records([first, second]).agg(F.array_sort(F.collect_list(F.struct((-F.col("idx")).alias("at"), *V.PAIR_COLUMNS))).alias("r"))
+        pair = both.select(*(F.get("r", F.lit(k - 1))[c].alias(f"{c}_{k}") for k in (1, 2) for c in V.PAIR_COLUMNS))
+        score = self._scored(pair).first()["duplicate_score"]
         return {"duplicate_probability": score, "is_duplicate": score >= threshold}
 
     def deduplicate(self, rows: list[dict[str, Any]] | DataFrame, threshold: float = V.SCORE_THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from kindred.operators import augment as A, blocking as B, entities as E, evalua
 from kindred.operators.cleaning import add_script, build_dataset, clean_dataset, preprocess_names, split_by_label
 from kindred.operators.graph import connected_components
 from kindred.plans import dedup
-from kindred.plans.service import Engine
+from kindred.plans.service import Engine, search_index
 from kindred.sources import tables as T
 from kindred.streaming import ingest
 
@@ -272,3 +272,20 @@ def test_rule_prefilter_loses_nothing(spark):
     pairs = rows.select(F.col("n").alias("name_latin_1"), "i").crossJoin(rows.select(F.col("n").alias("name_latin_2"), F.col("i").alias("j"))).where("i < j")
     scored = X.rule_scorer(P.text_features(pairs)).withColumn("may", X.rule_may_match())
     assert scored.where("duplicate_score >= 0.9 and not may").count() == 0 and scored.where("not may").count() > 100
+
+
+def test_search_in_a_written_index(spark, people, tmp_path):
+    """A loaded index finds what a cached one finds, by equalities that reach the scan."""
+    T.write_parquet(search_index(people), str(tmp_path / "index"))
+    loaded, cached = Engine.load(spark, str(tmp_path / "index")), Engine(spark, people)
+    query = {"party_name": "Ivan PETROV", "country": "arm"}
+    found = loaded.search(query, 5, deduplicate=False)
+    assert found.collect() == cached.search(query, 5, deduplicate=False).collect() != [] and loaded.status()["records"] == 10
+    assert "In(block_value" in found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("\n")[0]
+
+
+def test_consistency(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "lost")], "idx long, entity_id string")
+    entities = spark.createDataFrame([("a", 2), ("b", 7), ("extra", 1)], "entity_id string, cluster_size long")
+    assert tuple(E.consistency(rows, entities).first()) == (5, 3, 1, 2, 1)
+    assert tuple(E.consistency(rows.limit(0), entities.limit(0)).first()) == (0, 0, 0, 0, 0)
