@@ -19,7 +19,8 @@ have 512 bits of their distinct shingles, and an index has a sample of them: a f
 similarity stay within, for as many bits as two nodes mask; there are as many samples as find such a pair with ``RECALL`` in spite of that. What is within the radius is proposed, as a spanning forest, nearest
 first. Each proposed link is then held against the whole texts' shingle sets, and only links of the similarity stay. Small sets differ in more bits, as ties are frequent: entries of up to ``SMALL``
 shingles are searched once more, for the largest share of bits that two such sets may differ in. Entries that a failed link leaves apart from the most linked entry of their proposed group are held
-against that entry too, and then all pairs are whose ends are still in different verified components, if they are as near by 2,048 bits too (families of one template have many pairs a little below the similarity). So no failed link hides a true one, precision is exact, and
+against that entry too. Groups that are still in several verified components are searched once more, and there each pair is held against the sets where it is met (families of one template have many pairs a little below the similarity): rows carry what sets them apart
+from the group's centre, which tells the similarity exactly, and a task gives a spanning forest of the true links, never the pairs. Groups of up to ``target`` entries meet whole, larger ones by samples. So no failed link hides a true one, precision is exact, and
 recall a matter of chance, documented in the README; it is higher the more similar the texts. Buckets of more than ``deal`` entries are large groups of near copies: all are first held against the
 bucket's least entry; then blocks of the others meet blocks of all, and only pairs within that entry's verified component are left out (``_in_blocks``).
 
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,6 @@ from kindred.plans.scratch import Scratch
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle, least Jaccard similarity, recall of the search at that similarity, and 64-bit words of a fingerprint in search by similarity.
 WIDE_SHINGLE, SIMILARITY, RECALL, WIDE = 5, 0.8, 0.995, 8
-#: 64-bit words of the fingerprint that pairs are held against before they are verified, where many are near.
-CLOSE = 32
 #: Shares of the radius that are searched in turn.
 STEPS = (0.5, 1.0)
 #: Distinct shingles up to which entries are searched once more, by the share of bits that small sets may differ in; beyond, it is the angle's to 0.003.
@@ -58,6 +57,8 @@ SKETCH, PRUNED, OUTSIDE, LEVELS = 128, 0.05, 0.001, 4
 BUCKET, TARGET, DEAL, FANOUT = 2048, 8192, 1 << 16, 16
 #: Words whose shingles are hashed at once; pairs of nodes and of leaves that are compared at once; rows of a task.
 _WORDS, _PAIRS, _LEAVES, TASK_ROWS = 1 << 16, 1 << 13, 1 << 10, 1 << 18
+#: Bytes of a bucket's bit sets; beyond, shared members are looked up.
+_BITS = 1 << 26
 
 
 def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -189,21 +190,23 @@ class GrayIndex:
             mask = ones | zeros
             self.levels.append((mask, ones))
 
-    def links(self, radii: tuple[int, ...], component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (i, j) of a spanning forest of the links within the last radius between ``component``s; each is such a link, and those within a lesser radius come first."""
+    def links(self, radii: tuple[int, ...], component: np.ndarray | None = None, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, j) of a spanning forest of the links within the last radius between ``component``s; each is such a link (and, by rows, ``alike``), and those within a lesser radius come first."""
         root = np.arange(len(self.order)) if component is None else self._least(component)
         found = []
         for radius in radii:
             for i, j in self._near(root, radius):
-                found += _union(root, i, j)
+                for k in range(0, len(i), len(i) if alike is None else _PAIRS):  # bounds the memory of one step
+                    a, b = (i, j) if alike is None else (i[k : k + _PAIRS], j[k : k + _PAIRS])
+                    if alike is not None:
+                        apart = root[a] != root[b]
+                        a, b = a[apart], b[apart]
+                        true = alike(self.order[a], self.order[b])
+                        a, b = a[true], b[true]
+                    found += _union(root, a, b)
         i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
         return self.order[i], self.order[j]
 
-    def pairs(self, radius: int, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows (i, j) of all pairs within the radius whose components differ."""
-        for i, j in self._near(self._least(component), radius):
-            yield self.order[i], self.order[j]
-
     def _least(self, component: np.ndarray) -> np.ndarray:
         """For each place the first place of its component."""
         _, first, group = np.unique(component[self.order], return_index=True, return_inverse=True)
@@ -281,11 +284,70 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndar
             root[:] = up
 
 
+class _Sets:
+    """Sets of a bucket's rows, told by members that at least two of them have: how many a pair shares."""
+
+    def __init__(self, sets: np.ndarray):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        _, member, times = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        often = times[member] > 1
+        row, place = np.repeat(np.arange(len(sets)), self.sizes)[often], (np.cumsum(times > 1) - 1)[member[often]]
+        self.members, words = int((times > 1).sum()), max(-(-int((times > 1).sum()) // 64), 1)
+        self.bits = None
+        if len(sets) * words * 8 <= _BITS:
+            at, bit = row * words + place // 64, np.uint64(1) << (place % 64).astype(np.uint64)
+            order = np.argsort(at, kind="stable")
+            at, bit = at[order], bit[order]
+            self.bits = np.zeros((len(sets), words), np.uint64)
+            if len(at):
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                self.bits.ravel()[at[first]] = np.bitwise_or.reduceat(bit, first)
+            return
+        self.keys = np.sort(row * self.members + place)
+        self.ends = np.cumsum(np.bincount(row, minlength=len(sets)))
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            step = max(1, (_BITS >> 3) // self.bits.shape[1] // 8)
+            parts = [np.bitwise_count(self.bits[i[k : k + step]] & self.bits[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)]
+            return np.concatenate([np.zeros(0, np.int64), *parts])
+        starts, out = np.r_[0, self.ends[:-1]], np.zeros(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+            mine, theirs = self.keys[starts[a] : self.ends[a]] - a * self.members, self.keys[starts[b] : self.ends[b]] - b * self.members
+            out[k] = len(np.intersect1d(mine, theirs, assume_unique=True))
+        return out
+
+
+def _alike_rows(size: np.ndarray, delta: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows have the similarity, from the sizes of their sets and what sets them apart from one and the same set; the rule of ``_alike``."""
+    sets = _Sets(delta)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both = size[i] + size[j]
+        out = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        i, j, n = i[out], j[out], both[out]
+        differ = sets.sizes[i] + sets.sizes[j] - 2 * sets.shared(i, j)
+        shared = (n - differ) // 2
+        out[out] = (n == 0) | (shared / np.maximum(n - shared, 1) >= similarity)
+        return out
+
+    return alike
+
+
 def _numbers(values: pa.Array) -> np.ndarray:
     """A column of numbers, or of lists of equal length as rows."""
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if pa.types.is_list(values.type) else values.to_numpy(zero_copy_only=False)
 
 
+def _lists(values: pa.Array) -> np.ndarray:
+    """A column of lists of any length, as arrays."""
+    ends = values.offsets.to_numpy()
+    flat, out = values.values.to_numpy(zero_copy_only=False), np.empty(len(values), object)
+    for k in range(len(values)):
+        out[k] = flat[ends[k] : ends[k + 1]]
+    return out
+
+
 def _per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of one bucket after the other, from rows sorted by bucket; no more than a bucket and a batch is held."""
 
@@ -299,7 +361,7 @@ def _per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndar
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {name: _numbers(column(batch, name)) for name in batch.schema.names}
+        rows = {name: (_lists if name == "delta" else _numbers)(column(batch, name)) for name in batch.schema.names}
         held = {k: np.concatenate([held[k], v]) for k, v in rows.items()} if held else rows
         whole = int(np.searchsorted(held["bucket"], held["bucket"][-1]))
         if whole:
@@ -480,23 +542,22 @@ class Search:
 
         return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(r) for r in _per_bucket(batches))).distinct()
 
-    def apart(self, dealt: DataFrame, similarity: float) -> DataFrame:
-        """src, dst: all of each bucket's pairs within the radius whose components differ, whose sets' sizes allow the similarity, and which are as near by the bits of ``close``."""
-        radius, limits, near = self.radius, self.limits, tolerated(64 * CLOSE, self.share, OUTSIDE)
+    def true(self, dealt: DataFrame, similarity: float) -> DataFrame:
+        """src, dst: a spanning forest of each bucket's links of the similarity within the radius, between the components of ``dealt`` (which has size and delta too)."""
+        radius, limits = self.radius, self.limits
+        return _searched(dealt, self.count * len(self.samples), lambda batches: _links(_true(rows, limits, radius, similarity) for rows in _per_bucket(batches))).distinct()
+
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for rows in _per_bucket(batches):
-                ids, size, close = rows["id"], rows["size"], rows["close"].view(np.uint64)
-                for i, j in GrayIndex(_sketch(rows), limits).pairs(radius, rows["component"]):
-                    fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-                    i, j = i[fits], j[fits]
-                    for k in range(0, len(i), _PAIRS):  # bounds the memory of one step
-                        a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
-                        fits = np.bitwise_count(close[a] ^ close[b]).sum(1, dtype=np.int64) <= near
-                        if fits.any():
-                            yield ids[a[fits]], ids[b[fits]]
+def _true(rows: dict[str, np.ndarray], limits: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    i, j = GrayIndex(_sketch(rows), limits).links((radius,), rows["component"], _alike_rows(rows["size"], rows["delta"], similarity))
+    return rows["id"][i], rows["id"][j]
 
-        return _searched(dealt, self.count * len(self.samples), lambda batches: _links(each(batches))).distinct()
+
+def _whole(rows: DataFrame, count: int, similarity: float) -> DataFrame:
+    """src, dst: a spanning forest of the links of the similarity between the components of each group (rows: group, id, fp, size, component, delta), whose pairs all meet."""
+    dealt = rows.select(F.col("group").alias("bucket"), "id", *(F.col("fp")[k].alias(f"s{k}") for k in range(SKETCH // 64)), "size", "component", "delta")
+    limits = np.full(SKETCH + 1, SKETCH)
+    return _searched(dealt, count, lambda batches: _links(_true(r, limits, SKETCH, similarity) for r in _per_bucket(batches)))
 
 
 def _sketch(rows: dict[str, np.ndarray]) -> np.ndarray:
@@ -526,18 +587,35 @@ def _in_blocks(dealt: DataFrame, large: DataFrame, scratch: Scratch, deal: int)
     return dealt.join(large, "bucket", "left_anti").unionByName(hot.select(*dealt.columns))
 
 
-def _open_groups(proposed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, component by ``links`` (verified) of the entries whose proposed group has several such components."""
-    loose = scratch.cut(connected_components(proposed, scratch=scratch)).withColumnRenamed("component", "group")
+def _groups(proposed: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, group of the proposed links."""
+    return scratch.cut(connected_components(proposed, scratch=scratch)).withColumnRenamed("component", "group")
+
+
+def _open_groups(loose: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """group, members, centre (the most linked entry), node, component by ``links`` (verified) of the entries whose proposed group (``loose``) has several such components."""
     tight = scratch.cut(connected_components(links, scratch=scratch))
-    placed = scratch.cut(loose.join(tight, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
-    several = placed.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("group")
-    several = scratch.cut(several)
-    return scratch.cut(placed.join(several, "group", "left_semi").select("node", "component"))
+    degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    placed = scratch.cut(loose.join(tight, "node", "left").join(degree, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    most = F.max(F.struct("degree", (-F.col("node")).alias("least")))
+    several = placed.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("members"), most.alias("_c"))
+    several = scratch.cut(several.where("_a < _b").select("group", "members", (-F.col("_c.least")).alias("centre")))
+    return scratch.cut(placed.drop("degree").join(several, "group"))
+
+
+def _deltas(open_: DataFrame, entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """group, members, id, fp, size, component, delta: the shingles that an entry or its group's centre has, but not both; where those are more than the sets themselves, the sets."""
+    centres = scratch.cut(open_.select("group", F.col("centre").alias("id")).distinct().join(sets, "id").select("group", F.col("grams").alias("_c")))
+    told = open_.withColumnRenamed("node", "id").join(sets, "id").join(centres, "group")
+    size, shared = F.size("grams"), F.size(F.array_intersect("grams", "_c"))
+    way = scratch.cut(told.groupBy("group").agg((F.sum(F.size("_c") - 2 * shared) < 0).alias("_by")))
+    delta = F.when(F.col("_by"), F.concat(F.array_except("grams", "_c"), F.array_except("_c", "grams"))).otherwise(F.col("grams"))
+    rows = told.join(way, "group").select("group", "members", "id", size.cast("long").alias("size"), "component", delta.alias("delta"))
+    return scratch.cut(rows.join(entries.select("id", "fp"), "id").select("group", "members", "id", "fp", "size", "component", "delta"))
 
 
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """id, grams (distinct shingle hashes) and close (a longer fingerprint) of each linked entry, from a text of its least doc_id (of those without one, if it has no other)."""
+    """id, grams (distinct shingle hashes) of each linked entry, from a text of its least doc_id (of those without one, if it has no other)."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     linked = scratch.cut(entries.join(nodes, "id", "left_semi").select("id", "least", F.col("digest").alias("_digest")))
     wanted = scratch.cut(linked.select("least").distinct())  # a table of known size: sent to the tasks only if it is small
@@ -545,13 +623,12 @@ def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, shingle) for t in texts(batch, "text")]
-            close = [set_fingerprint(g, CLOSE).view(np.int64) for g in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, close))], ["digest", "grams", "close"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "grams"])
 
     few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    told = few.mapInArrow(run, "digest binary, grams array<long>, close array<long>")
+    told = few.mapInArrow(run, "digest binary, grams array<long>")
     own = told.join(linked, F.col("digest") == F.col("_digest"))
-    return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams"), F.min("close").alias("close")))
+    return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
 
 
 def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -561,10 +638,10 @@ def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return shared.where((F.col("_n") == 0) | (F.col("_k") / F.greatest(F.col("_n") - F.col("_k"), F.lit(1)) >= similarity)).select("src", "dst")
 
 
-def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+def verified_links(proposed: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, loose: DataFrame | None = None) -> DataFrame:
     """src, dst: proposed links of the similarity, and such links to the most linked entry of each proposed group of what is apart from it."""
     sure = scratch.cut(_alike(proposed, sets, similarity))
-    loose = scratch.cut(connected_components(proposed, scratch=scratch)).withColumnRenamed("component", "group")
+    loose = _groups(proposed, scratch) if loose is None else loose
     tight = scratch.cut(connected_components(sure, scratch=scratch))
     degree = sure.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     placed = scratch.cut(loose.join(tight, "node", "left").join(degree, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
@@ -595,18 +672,21 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHINGL
     proposed = proposed[0].unionByName(proposed[1])
     proposed = scratch.cut((proposed if known is None else proposed.unionByName(known)).distinct())
     sets = _sets(docs, entries, proposed, scratch, shingle)
-    links = verified_links(proposed, sets, scratch, similarity)
-    # A proposed link that failed must not hide a true one: all pairs between components that verified links leave apart are verified too.
-    open_ = _open_groups(proposed, links, scratch)
-    missed = []
-    for s in searches:
-        rows = s.entries.join(open_, F.col("id") == F.col("node")).join(sets.select("id", "close"), "id").select("id", "fp", "size", "component", "close")
-        again = scratch.cut(s.dealt(rows))
-        wide = _large(again, scratch, deal)
-        pairs = s.apart(again if wide.isEmpty() else _in_blocks(again, wide, scratch, deal), similarity)
-        missed.append(pairs.join(proposed, ["src", "dst"], "left_anti"))
-    more = scratch.cut(_alike(scratch.cut(missed[0].unionByName(missed[1]).distinct()), sets, similarity))
-    return _components(marked, entries, links.unionByName(more), scratch, "digest")
+    loose = _groups(proposed, scratch)
+    links = verified_links(proposed, sets, scratch, similarity, loose)
+    # A proposed link that failed must not hide a true one: what verified links leave apart in a proposed group is searched once more, for true links only.
+    rows = _deltas(_open_groups(loose, links, scratch), entries, sets, scratch)
+    few, many = rows.where(F.col("members") <= target), rows.where(F.col("members") > target).drop("members")
+    more = scratch.cut(_whole(few, rows.count(), similarity))
+    found = links.unionByName(more)
+    if not many.isEmpty():
+        for share, some in ((bit_share(similarity), many), (small_share(similarity), many.where(F.col("size") <= SMALL))):
+            search = Search(some, share, target)
+            # Samples of bits deal within each group.
+            again = scratch.cut(search.dealt(search.entries).withColumn("bucket", F.xxhash64("bucket", "group")).drop("group"))
+            wide = _large(again, scratch, deal)
+            found = found.unionByName(scratch.cut(search.true(again if wide.isEmpty() else _in_blocks(again, wide, scratch, deal), similarity)))
+    return _components(marked, entries, found, scratch, "digest")
 
 
 def xx_rows(rows: np.ndarray, salt: int) -> np.ndarray:

@@ -289,3 +289,61 @@ def test_short_near_copies(spark, scratch):
     found = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
     assert all(found[k] // 2 == k // 2 for k in found)
     assert sum(found[2 * k] == found[2 * k + 1] for k in range(150)) >= 0.95 * 150
+
+
+def template_texts(seed, families, copies, words=120, least=2, most=4):
+    draw, rows = np.random.default_rng(seed), []
+    for f in range(families):
+        base = [f"f{f}w{x}" for x in range(words)]
+        for _ in range(copies):
+            said = list(base)
+            for at in draw.choice(words, int(draw.integers(least, most)), replace=False):
+                said[at] = f"x{draw.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(said)))
+    return rows
+
+
+def test_pairs_of_a_family_are_no_rows(spark, scratch, monkeypatch):
+    """Texts a little below the similarity to each other: no table has a row for each pair of them."""
+    rows = template_texts(43, 1, 200, words=215, least=3, most=4)
+    written, cut = [], type(scratch).cut
+
+    def counted(self, df, **options):
+        out = cut(self, df, **options)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(scratch), "cut", counted)
+    found = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert [found[k] for k in range(len(rows))] == components(len(rows), truth(rows))
+    assert max(written) <= 10 * len(rows)
+
+
+def test_large_open_groups_by_samples(spark, scratch):
+    """Groups beyond ``target`` are searched by samples, those beyond ``deal`` in blocks."""
+    rows = template_texts(47, 3, 80)
+    true = truth(rows)
+    assert len(true) > 20
+    for deal in (1 << 16, 24):
+        found = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch, deal=deal, target=60).collect()}
+        assert [found[k] for k in range(len(rows))] == components(len(rows), true)
+
+
+def test_similarity_from_what_sets_apart(monkeypatch):
+    """Told from deltas to one set as from the sets themselves, by bits and by look-up."""
+    draw = np.random.default_rng(53)
+    base = set(draw.integers(-(2**62), 2**62, 90).tolist())
+    sets = [set(), set()]
+    for k in range(60):
+        kept = [x for x in sorted(base) if draw.random() > 0.06]
+        sets.append({*kept, *draw.integers(0, 60, int(draw.integers(0, 12))).tolist()})
+    size = np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    want = [len(sets[a] | sets[b]) == 0 or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in zip(i, j)]
+    assert 0.1 < np.mean(want) < 0.9
+    for room in (1 << 26, 0):
+        monkeypatch.setattr(S, "_BITS", room)
+        for centre in (base, set()):
+            delta = np.empty(len(sets), object)
+            delta[:] = [np.array(sorted(s ^ centre), np.int64) for s in sets]
+            assert S._alike_rows(size, delta, 0.8)(i, j).tolist() == want
