@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kindred.functions import names as N, similarity as S
+from kindred.functions import names as N
+from kindred.operators import nearest
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -141,11 +144,26 @@ def tfidf_neighbours(df: DataFrame, key: str, text: str, k: int = 20, sizes: tup
 
 
 def vector_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """The k vectors of highest cosine for each of a stated set of query vectors; ties by key.
+    """The k vectors of highest cosine for each of a stated set of query vectors, exact; ties by key.
 
-    Whether the queries are broadcast or meet the vectors block by block is left to Spark, which knows their size.
+    Blocks of queries meet blocks of vectors in cells, as matrix products; a block's bytes are bounded, and no side is broadcast. Rows without a key are left out; a pair
+    without a cosine (a null, or vectors of unequal length) comes last, one with a zero vector has NaN and comes first.
     """
-    few = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    near = df.join(few, F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), S.cosine(F.col("_q"), F.col(vector)).alias("cosine"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    few = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    asked, width = few.count(), max(width, 1)
+    block = max(nearest.BLOCK_BYTES // (8 * width), 1)
+    of_queries = max(math.ceil(asked / block), 1)
+    of_rows = max(math.ceil(n / block), min(math.ceil(asked * n / nearest.CELL_PAIRS / of_queries), nearest.CELLS), 1)
+
+    def dealt(side: DataFrame, asks: bool, own: int, met: int) -> DataFrame:
+        mine, other = F.pmod(F.xxhash64("key"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(met - 1)))
+        cell = F.col("_mine") * of_rows + F.col("_other") if asks else F.col("_other") * of_rows + F.col("_mine")
+        return side.select("*", mine.alias("_mine"), other.alias("_other")).select(cell.cast("long").alias("cell"), F.lit(asks).alias("asked"), "key", "vector")
+
+    cells = dealt(few, True, of_queries, of_rows).unionByName(dealt(rows, False, of_rows, of_queries))
+    kind = df.schema[key].dataType.simpleString()
+    near = cells.repartition(of_queries * of_rows, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: nearest.in_cells(batches, width, k), f"query {kind}, other {kind}, cosine double")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "other"))
     return near.withColumn("_r", nth).where(F.col("_r") <= k).select("query", "other", "cosine")
