@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from kindred.llm.arrow import column, slices, texts
+from kindred.llm.arrow import column, giving_back, slices, texts
 from kindred.llm.counts import frequent_from
 from kindred.plans.scratch import Scratch
 
@@ -145,7 +145,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             decoded = [bpe.decode(list(memoryview(r).cast("i"))) for r in rows]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

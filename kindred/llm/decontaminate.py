@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.arrow import column, slices, texts
+from kindred.llm.arrow import column, giving_back, slices, texts
 from kindred.plans.scratch import Scratch
 
 Q, RATE, BLOCK_CHARS = 10, 0.08, 1_800_000
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, q: int
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "distance", "end"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MATCHES)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), _MATCHES)
         if not last:
             found = scratch.cut(found)
             index.destroy()
@@ -206,7 +206,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, q
             for batch in slices(batches, "text"):
                 yield batch.filter(pa.array([not known.matches(plain(t)) for t in texts(batch, "text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(giving_back(run), docs.schema)
         if not last:
             docs = scratch.cut(docs)
             index.destroy()

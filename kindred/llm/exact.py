@@ -89,15 +89,26 @@ def exact_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataF
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. A row is known by its doc_id and its text's digest; of rows alike in both one stays."""
+    """The rows of ``docs`` that stay, with their columns. A row is known by its doc_id and its text's digest; of rows alike in both one stays.
+
+    A doc_id of which every row goes tells its rows by itself, so whole texts are neither hashed nor exchanged for them; only rows of a doc_id of which some
+    stay and some go are told by their digests."""
     def key(sha: Column) -> Column:
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
 
-    kept = exact_groups(docs, scratch).where("kept").select(key(F.col("text_sha256")).alias("_exact_key")).distinct()
-    marked = docs.withColumn("_exact_key", key(F.sha2(normalised(F.col("text")), 256)))
+    groups = exact_groups(docs, scratch)
+    counts = groups.groupBy("doc_id").agg(F.count_if("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    ids = scratch.cut(counts.where("_kept < _rows").select(F.col("doc_id").alias("_exact_id"), (F.col("_kept") == 0).alias("_all")))
+    same = F.col("doc_id").eqNullSafe(F.col("_exact_id"))
+    stay = docs.join(ids.where("_all").select("_exact_id"), same, "left_anti")
+    some = ids.where("NOT _all").select("_exact_id")
+    if some.isEmpty():
+        return stay
+    kept = groups.where("kept").join(some, same, "left_semi").select(key(F.col("text_sha256")).alias("_exact_key")).distinct()
+    marked = stay.join(some, same, "left_semi").withColumn("_exact_key", key(F.sha2(normalised(F.col("text")), 256)))
     one = F.row_number().over(Window.partitionBy("_exact_key").orderBy(F.lit(0)))
-    stays = marked.join(kept, "_exact_key", "left_semi").withColumn("_exact_nth", one)
-    return stays.where("_exact_nth = 1").drop("_exact_nth", "_exact_key")
+    first = marked.join(kept, "_exact_key", "left_semi").withColumn("_exact_nth", one).where("_exact_nth = 1").drop("_exact_nth", "_exact_key")
+    return stay.join(some, same, "left_anti").unionByName(first)
 
 
 def op4_exact_block_naming(spark, sf_dir: str) -> DataFrame:

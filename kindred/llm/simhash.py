@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from kindred.llm.arrow import column, slices, texts
+from kindred.llm.arrow import column, giving_back, slices, texts
 from kindred.operators.graph import connected_components
 from kindred.plans.scratch import Scratch
 
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = pa.array(np.concatenate([fingerprint(t, shingle) for t in texts(batch, "text")]).view(np.int64))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
@@ -143,7 +143,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame
             digest = [set_digest(g) for g in sets]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp, pa.list_(pa.int64())), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], ["doc_id", "fp", "digest", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, digest binary, size long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, fp array<long>, digest binary, size long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -393,7 +393,7 @@ def _links(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
 def _searched(dealt: DataFrame, rows: int, search) -> DataFrame:
     """src, dst of a search over each bucket of ``dealt``; the number of tasks follows the rows."""
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS, 1)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "src long, dst long")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(search), "src long, dst long")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,7 +530,7 @@ class Search:
                         sketch = np.ascontiguousarray(np.packbits(bit[:, places[width:]], axis=1)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(key), column(part, "id"), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T), *(column(part, c) for c in others)], names)
 
-        return entries.mapInArrow(deal, ", ".join(f"{c} {t}" for c, t in types.items()))
+        return entries.mapInArrow(giving_back(deal), ", ".join(f"{c} {t}" for c, t in types.items()))
 
     def forest(self, dealt: DataFrame) -> DataFrame:
         """src, dst: a spanning forest of each bucket's pairs within the radius, nearest first, between the components of ``dealt`` if it has them."""
@@ -626,7 +626,7 @@ def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, scratch: Scratc
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "grams"])
 
     few = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    told = few.mapInArrow(run, "digest binary, grams array<long>")
+    told = few.mapInArrow(giving_back(run), "digest binary, grams array<long>")
     own = told.join(linked, F.col("digest") == F.col("_digest"))
     return scratch.cut(own.groupBy("id").agg(F.min("grams").alias("grams")))
 
@@ -720,7 +720,7 @@ def drop_near_copies(docs: DataFrame, scratch: Scratch, shingle: int = WIDE_SHIN
             yield pa.RecordBatch.from_arrays([*batch.columns, digest], [*batch.schema.names, "_near_digest"])
 
     same = F.col("doc_id").eqNullSafe(F.col("_near_id"))
-    marked = stay.join(some, same, "left_semi").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.BinaryType())]))
+    marked = stay.join(some, same, "left_semi").mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.BinaryType())]))
     kept = marked.join(goes, same & (F.col("_near_digest") == F.col("_near_set")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
     return stay.join(some, same, "left_anti").unionByName(kept)
 

@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kindred.llm.arrow import column, slices, texts
+from kindred.llm.arrow import column, giving_back, slices, texts
 from kindred.plans.scratch import Scratch
 
 #: Labelled rows that are learned from; entries of the lexicon; score from which a document counts as toxic.
@@ -135,7 +135,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     sizes = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     pos, neg = F.col("pos"), F.col("neg")
     odds = F.log((pos + 0.5) / (sizes[0] + 1.0)) - F.log((neg + 0.5) / (sizes[1] + 1.0))
-    found = rows.select("text", "toxic").mapInArrow(gather, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = rows.select("text", "toxic").mapInArrow(giving_back(gather), "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     top = found.where(pos >= max(3, sizes[0] // 200)).select("key", odds.alias("w"), "pos").where(F.col("w") >= 1.5).orderBy(F.desc(F.col("w") * F.log1p("pos")), "key").limit(size)
     return {r["key"]: r["w"] for r in top.collect()}
 
@@ -150,7 +150,7 @@ def featured(rows: DataFrame, lexicon: dict[str, float], keep: bool = False) ->
             vectors = pa.array([measure(t) for t in texts(batch, "text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(column(batch, f.name) for f in others), vectors], [*(f.name for f in others), "_tox_f"])
 
-    out = rows.mapInArrow(run, T.StructType([*others, T.StructField("_tox_f", T.ArrayType(T.DoubleType()))]))
+    out = rows.mapInArrow(giving_back(run), T.StructType([*others, T.StructField("_tox_f", T.ArrayType(T.DoubleType()))]))
     return out.withColumn("_tox_features", array_to_vector("_tox_f")).drop("_tox_f")
 
 

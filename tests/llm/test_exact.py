@@ -53,3 +53,17 @@ def test_drop_copies(odd, nothing, scratch):
     rows = kept.collect()
     assert len({plain(r["text"]) for r in rows}) == len(rows) == len({plain(r["text"]) for r in odd.collect()})
     assert exact.drop_copies(nothing, scratch).count() == 0 and exact.exact_groups(nothing, scratch).count() == 0
+
+
+def test_no_text_is_exchanged_to_drop_copies(spark, scratch):
+    df = spark.createDataFrame([(k, f"text {k % 70}") for k in range(100)], "doc_id long, text string")
+    kept = exact.drop_copies(scratch.cut(df), scratch)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(70))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "sha2" not in plan
+
+
+def test_a_doc_id_of_which_some_rows_go(spark, scratch):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (2, "c"), (3, "b"), (3, "a"), (None, "c"), (None, "d"), (None, "d"), (4, None), (5, ""), (5, "e"), (6, "f")]
+    kept = exact.drop_copies(scratch.cut(spark.createDataFrame(rows, "doc_id long, text string")), scratch)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, None), (5, "e"), (6, "f")], key=str)
